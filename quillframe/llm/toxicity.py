@@ -111,7 +111,7 @@ class Featuriser:
         spelled = sum(1 for w in joined if w in SEEDS or "=" + w in self.lexicon)
         near = 0.0
         if hit.any() and second.any():
-            around = np.convolve(second, np.ones(11), "same") > 0
+            around = np.convolve(second, np.ones(11))[5 : 5 + n] > 0
             near = float((hit & around).sum())
         byte = np.bincount(np.frombuffer(text.encode(errors="replace"), np.uint8), minlength=256)
         chars = len(text)
