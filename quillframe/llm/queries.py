@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .quality import op2_quality_rules
 from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_quality_rules": op2_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
