@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .pii import op3_pii
 from .quality import op2_quality_rules
+from .simhash import op6_simhash
 from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_pii": op3_pii,
+    "op6_simhash": op6_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
