@@ -44,6 +44,8 @@ SECOND_PERSON = frozenset(
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 EDGE = "\"'`.,;:!?()[]{}<>*#%&$|-_~"
 PREFIXES = range(3, 8)
+STRETCHED = re.compile(r"([^\W\d_])\1\1")
+SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_]\s){3,}[^\W\d_](?!\S)")
 NAMES = (
     "log_words", "word_length", "seed_density", "seed_count", "learned_density", "learned_count", "learned_weight",
     "strongest", "near_second_person", "second_person", "capitals", "upper_words", "exclamations", "punctuation",
@@ -63,18 +65,21 @@ class Words(dict):
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
-        self.lexicon, self.rows = lexicon, []
+        self.lexicon, self.rows = lexicon, np.zeros((4096, 6))
 
     def __missing__(self, word: str) -> int:
         core = word.strip(EDGE)
-        obfuscated = any(not c.isalpha() and c not in "'-." for c in core) and any(c.isalpha() for c in core)
+        obfuscated = not core.isalpha() and any(not c.isalpha() and c not in "'-." for c in core) and any(c.isalpha() for c in core)
         plain = "".join(c for c in core.translate(LEET) if c.isalpha()) if obfuscated else core
         weight = max((self.lexicon.get(g, 0.0) for g in grams(plain)), default=0.0) if plain else 0.0
         seed = plain in SEEDS
-        stretched = re.search(r"([^\W\d_])\1\1", core) is not None
-        self.rows.append((float(seed), weight, float(core in SECOND_PERSON), float(obfuscated), float(obfuscated and (seed or weight > 0)), float(stretched)))
-        self[word] = len(self.rows) - 1
-        return self[word]
+        stretched = STRETCHED.search(core) is not None
+        at = len(self)
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[at] = seed, weight, core in SECOND_PERSON, obfuscated, obfuscated and (seed or weight > 0), stretched
+        self[word] = at
+        return at
 
 
 @dataclass
@@ -102,10 +107,9 @@ class Featuriser:
         if len(self._words) > Words.LIMIT:
             self._words = Words(self.lexicon)
         low = text.lower().split()
-        singles = re.findall(r"(?:(?<=\s)|^)(?:[^\W\d_]\s){3,}[^\W\d_](?=\s|$)", text.lower()) if "  " not in text else []
-        joined = ["".join(x.split()) for x in singles]
+        joined = ["".join(x.split()) for x in SPELLED.findall(text.lower())]
         at = np.fromiter(map(self._words.__getitem__, low), np.int64, len(low))
-        props = np.asarray([self._words.rows[i] for i in at])
+        props = self._words.rows[at]
         seed, weight, second, odd, odd_hit, stretched = props.T
         hit = (seed > 0) | (weight > 0)
         spelled = sum(1 for w in joined if w in SEEDS or "=" + w in self.lexicon)
@@ -168,7 +172,7 @@ def fit(rows: DataFrame, max_lexicon: int = MAX_LEXICON) -> ToxicityModel:
         got = rows.mapInArrow(vectors, "doc_id long, toxic int, x array<double>").select(
             "toxic", "x", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0).alias("calibrates"), F.xxhash64("doc_id").alias("h")
         )
-        table = got.orderBy("h").toArrow()
+        table = got.toArrow().sort_by("h")
     finally:
         rows.unpersist()
     y = np.asarray(table.column("toxic").to_pylist(), float)
