@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html import op5_html
 from .pii import op3_pii
 from .quality import op2_quality_rules
 from .simhash import op6_simhash
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op3_pii": op3_pii,
+    "op5_html": op5_html,
     "op6_simhash": op6_simhash,
 }
 
