@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .html import op5_html
+from .packing import op7_packing
 from .pii import op3_pii
 from .quality import op2_quality_rules
 from .simhash import op6_simhash
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op5_html": op5_html,
     "op6_simhash": op6_simhash,
+    "op7_packing": op7_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
