@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .html import op5_html
+from .lines import OP8_SQL, op8_line_dedup
+from .neighbours import op10_nearest
 from .packing import op7_packing
 from .pii import op3_pii
 from .quality import op2_quality_rules
@@ -16,6 +18,8 @@ QUERIES = {
     "op5_html": op5_html,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_nearest": op10_nearest,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
