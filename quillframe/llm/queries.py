@@ -8,6 +8,7 @@ from .neighbours import op10_nearest
 from .packing import op7_packing
 from .pii import op3_pii
 from .quality import op2_quality_rules
+from .repeats import op9_repeats
 from .simhash import op6_simhash
 from .toxicity import op1_toxicity
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_repeats": op9_repeats,
     "op10_nearest": op10_nearest,
 }
 
