@@ -9,6 +9,7 @@ from .packing import op7_packing
 from .pii import op3_pii
 from .quality import op2_quality_rules
 from .repeats import op9_repeats
+from .sentencepieces import op4_sentencepiece
 from .simhash import op6_simhash
 from .toxicity import op1_toxicity
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op3_pii": op3_pii,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_html": op5_html,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
