@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Callable
 
 #: POSIX class names inside brackets, as ranges.
 CLASSES = {
@@ -13,7 +13,26 @@ CLASSES = {
 GROUP = re.compile(r"\(\?(?:P?<([A-Za-z_]\w*)>|([imsU]*(?:-[imsU]+)?)([:)]))")
 
 
-@lru_cache(maxsize=1024)
+class Memo:
+    """A function that remembers its results, within bounds. What it remembers stays behind when it is sent to a task."""
+
+    LIMIT = 1024
+
+    def __init__(self, f: Callable):
+        self.f, self.known = f, {}
+
+    def __getstate__(self):
+        return {"f": self.f, "known": {}}
+
+    def __call__(self, *args):
+        if args not in self.known:
+            if len(self.known) >= self.LIMIT:
+                self.known.clear()
+            self.known[args] = self.f(*args)
+        return self.known[args]
+
+
+@Memo
 def translate(pattern: str) -> tuple[str, str, int] | None:
     """(Java pattern, Python pattern, capture groups), or None where the dialect has no such pattern."""
     java, python, groups, at, n = [], [], 0, 0, len(pattern)
@@ -130,7 +149,7 @@ def _class_end(pattern: str, at: int) -> int | None:
     return None
 
 
-@lru_cache(maxsize=1024)
+@Memo
 def compiled(pattern: str) -> re.Pattern | None:
     """pattern for Python, or None where it is not valid."""
     found = translate(pattern)
@@ -139,7 +158,7 @@ def compiled(pattern: str) -> re.Pattern | None:
     return re.compile(found[1], 0 if "(?i" in found[1] else re.ASCII)
 
 
-@lru_cache(maxsize=1024)
+@Memo
 def like(pattern: str, ignore_case: bool) -> re.Pattern:
     """A LIKE pattern for Python: % and _ match anything but a line break, nothing escapes them."""
     return re.compile("".join({"%": ".*", "_": "."}.get(c) or re.escape(c) for c in pattern) + r"\Z", re.I if ignore_case else 0)
