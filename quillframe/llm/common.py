@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,20 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the table behind a DataFrame of materialise(), which nothing will read any more, and free finished shuffles.
+
+    Spark's cleaner drops a shuffle's files once the driver's garbage
+    collection finds its plan unused, which may otherwise be long after.
+    """
+    files = set(df.inputFiles()[:1])
+    for entry in [e for e in _written if any(e[1].rsplit("/", 1)[-1] in f for f in files)]:
+        _delete(*entry)
+        _written.remove(entry)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         jvm = spark.sparkContext._jvm

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import forget, materialise, table
 
 LENGTH = 400
 GRAM = 160
@@ -49,8 +49,6 @@ HALF = CONTEXT // 2
 #: Different segments of a group that are compared in one place, at most, and segments of a chunk.
 LARGE_GROUP = 2_000
 CHUNK = 16_000
-#: Lists that are no longer are sent to all tasks; longer ones are joined by content.
-BROADCAST_BYTES = 16_000_000
 #: String starts hashed at once, whatever a document's length.
 STRIDE = 1 << 18
 PLACE = np.uint64((1 << 20) - 1)
@@ -197,14 +195,11 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(29), text).alias("k2"), text.cast("binary").alias("data"))
 
 
-def _with(docs: DataFrame, listed: DataFrame, how: str) -> DataFrame:
-    """docs joined by content with a materialised list: sent to all tasks if it is small, else both are shuffled."""
-    size = listed.agg(F.coalesce(F.sum(F.size("spots") * 24 + 64), F.lit(0))).first()[0]
-    return docs.join(F.broadcast(listed) if size <= BROADCAST_BYTES else listed, KEYS, how)
+def removed_spans(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(k1, k2, spots) for contents that lose bytes, and the written tables that it still reads.
 
-
-def removed_spans(docs: DataFrame) -> DataFrame:
-    """(k1, k2, spots) for contents that lose bytes: spots are (a, b), bytes a to b exclusive, in any order, perhaps overlapping."""
+    spots are (a, b), bytes a to b exclusive, in any order, perhaps overlapping.
+    """
 
     def find(batches):
         seen: set[tuple[int, int]] = set()
@@ -229,9 +224,9 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     every = long_enough.select("k1", "k2", "data").mapInArrow(find, "k1 long, k2 long, place long, anchor long, segment long, near long, far long, left short, right short")
     every = materialise(every, "repeats-anchors")
     twice = materialise(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "repeats-twice")
-    if twice.count() * 16 <= BROADCAST_BYTES:
-        twice = F.broadcast(twice)
     shared = materialise(every.join(twice, "anchor", "left_semi"), "repeats-shared")
+    forget(every)
+    forget(twice)
 
     # One row for each different segment; of a segment that comes twice or more, all is repeated.
     one = F.min(F.struct("k1", "k2", "place")).alias("one")
@@ -264,11 +259,12 @@ def removed_spans(docs: DataFrame) -> DataFrame:
                 kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds_)], names=["k1", "k2", "place", "side", "key", "asks", "large", "before", "after"])
 
-    fetched = _with(long_enough.select("k1", "k2", "data"), places, "inner").mapInArrow(
+    fetched = long_enough.select("k1", "k2", "data").join(places, KEYS).mapInArrow(
         contexts, "k1 long, k2 long, place long, side int, key long, asks boolean, large boolean, before binary, after binary"
     )
     # A content that lies in several parts is fetched more than once; one row of each is compared.
     fetched = materialise(fetched.groupBy("k1", "k2", "place", "side", "key").agg(*(F.first(c).alias(c) for c in ("asks", "large", "before", "after"))), "repeats-contexts")
+    forget(places)
 
     def compare(batches):
         held: list[dict] = []
@@ -309,7 +305,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     begun = strings.filter("asks").join(repeated, ["side", "key", "l", "h", "g"]).select("k1", "k2", (F.col("place") - F.col("l")).alias("a"), (F.col("place") - F.col("l") + LENGTH).alias("b"))
 
     spots = whole.select("k1", "k2", F.lit(0).cast("long").alias("a"), "b").unionByName(again).unionByName(edges).unionByName(begun)
-    return spots.groupBy(*KEYS).agg(F.collect_set(F.struct("a", "b")).alias("spots"))
+    return spots.groupBy(*KEYS).agg(F.collect_set(F.struct("a", "b")).alias("spots")), [shared, kinds, fetched]
 
 
 def union_of(spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -325,7 +321,10 @@ def union_of(spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans of each row of documents."""
     docs = keyed(documents)
-    listed = materialise(removed_spans(docs), "repeats-spans")
+    listed, inputs = removed_spans(docs)
+    listed = materialise(listed, "repeats-spans")
+    for table_ in inputs:
+        forget(table_)
 
     def run(batches):
         for batch in batches:
@@ -341,7 +340,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
-    joined = _with(docs, listed, "left").select("doc_id", "data", "spots")
+    joined = docs.join(listed, KEYS, "left").select("doc_id", "data", "spots")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed string")
 
 
