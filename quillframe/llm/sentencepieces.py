@@ -34,7 +34,7 @@ SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Characters of new words that are indexed at once, and words that are remembered.
 INDEX_CHARS = 300_000
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: Words of more characters are relaxed one by one.
 LONG_WORD = 48
 
@@ -68,17 +68,22 @@ class PieceModel:
         self.rank = {c: k + 2 for k, c in enumerate(chars)}
         self.ranks = np.ones(0x110000, np.uint16)
         self.ranks[[ord(c) for c in chars]] = np.arange(2, len(chars) + 2)
-        self.width = -(-max(len(self.names[i]) for i in plain) // 4) * 4
+        self.width = -(-max(len(self.names[i]) for i in plain) // 8) * 8
         score = np.array([sp.get_score(i) for i in range(n)])
         self.priority = np.empty(n, np.int64)  # lower is merged first
         self.priority[np.argsort(-score, kind="stable")] = np.arange(n)
-        codes = np.zeros((len(plain), self.width), ">u2")
+        codes = np.zeros((len(plain), self.width), np.uint16)
         for row, i in enumerate(plain):
             codes[row, : len(self.names[i])] = [self.rank[c] for c in self.names[i]]
         self.piece_ids, self.piece_len = np.array(plain), np.array([len(self.names[i]) for i in plain])
-        top = codes.copy()
-        top[np.arange(self.width)[None, :] >= self.piece_len[:, None]] = 0xFFFF
-        self.piece_low, self.piece_high = (np.ascontiguousarray(c).view(f"S{2 * self.width}").ravel() for c in (codes, top))
+        self.piece_codes = codes
+        # What each id adds to a decoded text; None where bytes have to be put together first.
+        self.texts: list[str | None] = [x.replace(SPACE, " ") for x in self.names]
+        for k, b in self.byte_of.items():
+            self.texts[k] = chr(b) if b < 128 else None
+        for k in self.hidden:
+            self.texts[k] = ""
+        self.texts[self.unknown] = " ⁇ "
         self.memory: dict[str, list[int]] = {}
         self.loaded = True
         return self
@@ -88,20 +93,37 @@ class PieceModel:
     def edges(self, text: np.ndarray) -> np.ndarray:
         """For each place of text and each length, the piece there (-1: none)."""
         n, w = len(text), self.width
-        padded = np.concatenate([text, np.zeros(w, np.uint16)])
-        keys = [sum(padded[4 * k + j : 4 * k + j + n].astype(np.uint64) << np.uint64(48 - 16 * j) for j in range(4)) for k in range(w // 4)]
+        # Few different characters take a byte each, so that eight fit a sort key; else they take two.
+        present = np.flatnonzero(np.bincount(text, minlength=2))
+        narrow = len(present) < 250
+        kind, per = (np.uint8, 8) if narrow else (np.uint16, 4)
+        codes, ids, lengths = self.piece_codes, self.piece_ids, self.piece_len
+        if narrow:
+            dense = np.full(len(self.rank) + 2, 255, np.uint8)
+            dense[present] = np.arange(len(present)) + (0 if present[0] == 0 else 1)
+            dense[0] = 0
+            text, codes = dense[text], dense[codes]
+            here = (codes != 255).all(axis=1)
+            codes, ids, lengths = codes[here], ids[here], lengths[here]
+        padded = np.concatenate([text, np.zeros(w, text.dtype)])
+        bits = 64 // per
+        keys = [sum(padded[per * k + j : per * k + j + n].astype(np.uint64) << np.uint64(64 - bits * (j + 1)) for j in range(per)) for k in range(w // per)]
         # The suffix array, to the depth of the longest piece: no piece tells deeper suffixes apart.
         suffixes = np.lexsort(keys[::-1])
-        ordered = np.stack([k[suffixes] for k in keys], axis=1).astype(">u8").view(f"S{2 * w}").ravel()
-        low = np.searchsorted(ordered, self.piece_low, side="left")
-        high = np.searchsorted(ordered, self.piece_high, side="right")
+        size = w * np.dtype(kind).itemsize
+        ordered = np.stack([k[suffixes] for k in keys], axis=1).astype(">u8").view(f"S{size}").ravel()
+        big = np.dtype(kind).newbyteorder(">")
+        top = codes.copy()
+        top[np.arange(w)[None, :] >= lengths[:, None]] = np.iinfo(kind).max
+        low, high = (np.ascontiguousarray(c.astype(big)).view(f"S{size}").ravel() for c in (codes, top))
+        low, high = np.searchsorted(ordered, low, side="left"), np.searchsorted(ordered, high, side="right")
         count = np.maximum(0, high - low)
         which = np.repeat(np.arange(len(count)), count)
         within = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         place = suffixes[low[which] + within]
         # A table by place and length has the edges sorted by place at once.
         out = np.full((n + 1, w + 1), -1, np.int32)
-        out[place, self.piece_len[which]] = self.piece_ids[which]
+        out[place, lengths[which]] = ids[which]
         return out
 
     def relax(self, edges: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,6 +249,13 @@ class PieceModel:
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, byte pieces read as UTF-8, marks as spaces, without the space put before the text."""
         self.load()
+        try:
+            text = "".join(map(self.texts.__getitem__, ids))
+        except TypeError:
+            text = self._decode_bytes(ids)
+        return text[1:] if text.startswith(" ") else text
+
+    def _decode_bytes(self, ids: list[int]) -> str:
         parts: list[str] = []
         pending = bytearray()
         for i in ids:
@@ -236,19 +265,22 @@ class PieceModel:
             if pending:
                 parts.append(pending.decode(errors="replace"))
                 pending.clear()
-            if i not in self.hidden:
-                parts.append(" ⁇ " if i == self.unknown else self.names[i])
-        if pending:
-            parts.append(pending.decode(errors="replace"))
-        text = "".join(parts).replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+            parts.append(self.texts[i])
+        return "".join([*parts, pending.decode(errors="replace")])
+
+
+def _slices(batches, size: int = 1_000):
+    """Batches cut small, so that a task holds the ids of few texts at once."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), size):
+            yield batch.slice(at, size)
 
 
 def encode(documents: DataFrame, model: PieceModel) -> DataFrame:
     """(doc_id, ids) for each row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             ids = model.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -270,7 +302,7 @@ def encode_checked(documents: DataFrame, model: PieceModel) -> DataFrame:
     """(doc_id, n_ids, ids, round_trip): ids of each text, and whether decoding gives the text back."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column("text").to_pylist()
             ids = model.encode(texts)
             same = [model.decode(i) == (t or "") for i, t in zip(ids, texts)]
