@@ -9,7 +9,7 @@ arithmetic wraps and nothing throws; engine.legacy() sees to that.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import Column
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scalars import format_float
-from .values import Value
+from .values import Value, try_cast
 
 NUMERIC = ("bool", "int", "number")
 TEXT = ("string", "link", "mdlink")
@@ -31,11 +31,16 @@ class NotStatic(Exception):
 
 @dataclass(frozen=True)
 class Typed:
-    col: Column
+    made: Column | Callable[[], Column]  # a constant is made on use, which needs a session
     kind: str
     item: str | None = None  # kind of a list's items; "mixed": only known from const
     const: Value | None = None
     is_const: bool = False
+    inner: bool = False  # inside a function over a list, where no Python can run
+
+    @property
+    def col(self) -> Column:
+        return self.made if isinstance(self.made, Column) else self.made()
 
     def as_type(self) -> Column:
         """The column in the type that its kind has in results."""
@@ -46,7 +51,7 @@ class Typed:
         return self.col.cast(SPARK_TYPES[self.kind])
 
 
-NULL = Typed(F.lit(None).cast("string"), "null", const=None, is_const=True)
+NULL = Typed(lambda: F.lit(None).cast("string"), "null", const=None, is_const=True)
 
 
 def kind_of_type(t: T.DataType) -> tuple[str, str | None]:
@@ -120,22 +125,31 @@ def integer(t: Typed) -> Typed:
     return cast(t, "int")
 
 
+def item(x: Column, kind: str | None) -> Typed:
+    """An item of a list, inside a function over it."""
+    return Typed(x, kind, inner=True)
+
+
 def cast(t: Typed, kind: str) -> Typed:
-    if t.kind == "null" or kind == "any" or t.kind == kind:
-        if kind == "list" and t.kind == "list" and t.item not in ("string", "null"):
-            return _list_of_strings(t)
+    if t.is_const and t.kind not in ("null", kind) and kind != "any":
+        return constant(try_cast(t.const, kind))
+    if t.kind == "null" or kind == "any":
         return t
     if kind == "list":
-        return _list_of_strings(t)
+        return _list_of_strings(t)  # even of a list: its items become strings, and a null among them has none
+    if t.kind == kind:
+        return t
     if t.kind == "list":
         if t.item == "mixed":
             raise NotStatic("a list of several kinds")
-        only = cast(Typed(F.get(t.col, F.lit(0)), t.item), kind)
+        only = cast(Typed(F.get(t.col, F.lit(0)), t.item, inner=t.inner), kind)
         return NULL if only.kind == "null" else Typed(F.when(F.size(t.col) == 1, only.col), only.kind)
     if t.kind == "temporal" and kind in ("date", "datetime"):
         at = midnight(t.col)
         return Typed(F.when(at, t.col.cast("date")), "date") if kind == "date" else Typed(F.when(~at, t.col), "datetime")
     found = CASTS.get((t.kind, kind))
+    if t.inner and found is _number_to_string:
+        raise NotStatic("a number of a list as text")
     return NULL if found is None else Typed(found(t.col), kind)
 
 
@@ -145,7 +159,7 @@ def _list_of_strings(t: Typed) -> Typed:
         return NULL if s.kind == "null" else Typed(F.when(s.col.isNotNull(), F.array(s.col)), "list", "string")
     if t.item == "mixed":
         raise NotStatic("a list of several kinds")
-    strings = F.transform(t.col, lambda x: string(Typed(x, t.item)).col)
+    strings = F.transform(t.col, lambda x: string(item(x, t.item)).col)
     return Typed(F.when(~F.exists(strings, lambda x: x.isNull()), strings), "list", "string")
 
 
@@ -176,7 +190,7 @@ def _string_to_number(s: Column) -> Column:
     )
 
 
-@F.udf("string", useArrow=True)
+@F.udf(T.StringType(), useArrow=True)
 def _format_number(x: float | None) -> str | None:
     return None if x is None else format_float(x)
 
@@ -261,9 +275,6 @@ CASTS: dict[tuple[str, str], Callable[[Column], Column]] = {
 
 # -- truth and equality
 
-FALSE = F.lit(False)
-
-
 def truthy(t: Typed) -> Column:
     """Never null."""
     if t.kind == "null":
@@ -326,7 +337,7 @@ def one_of(x: Typed, items: Typed) -> Column:
         return out
     if items.item == x.kind and x.kind not in ("number", "temporal"):
         return F.coalesce(F.array_contains(items.col, x.col), F.lit(False))
-    return F.coalesce(F.exists(items.col, lambda y: F.coalesce(equal_values(x, Typed(y, items.item)), F.lit(False))), F.lit(False))
+    return F.coalesce(F.exists(items.col, lambda y: F.coalesce(equal_values(replace(x, inner=True), item(y, items.item)), F.lit(False))), F.lit(False))
 
 
 def same_list(a: Typed, b: Typed) -> Column:

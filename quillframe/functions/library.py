@@ -11,7 +11,7 @@ from . import patterns
 from .columns import NULL, SPARK_TYPES, TIME, NotStatic, Typed, cast, constant, elements, equal_values, integer, number, one_of, string
 from .values import ANY_NUMBER, try_cast
 
-WHITE = F.lit(" \t\n\r")
+WHITE = " \t\n\r"
 
 
 def _strings(result: str):
@@ -50,7 +50,7 @@ def trimmed(f: Callable[[Column, Column], Column]) -> Callable[..., Typed]:
         t, c = string(s), [string(x) for x in chars]
         if "null" in (t.kind, *(x.kind for x in c)):
             return NULL
-        return Typed(f(t.col, c[0].col if c else WHITE), "string")
+        return Typed(f(t.col, c[0].col if c else F.lit(WHITE)), "string")
 
     return call
 
@@ -241,7 +241,7 @@ def array_to_string(v: Typed, separator: Typed) -> Typed:
 def _join(strings: Column, separator: Typed, by: Typed) -> Column:
     if separator.is_const:
         return F.array_join(strings, _text(separator))
-    return F.aggregate(F.slice(strings, F.lit(2), F.greatest(F.size(strings) - 1, F.lit(0))), F.coalesce(F.get(strings, F.lit(0)), F.lit("")), lambda acc, x: F.concat(acc, by.col, x))
+    return F.call_function("array_join", strings, by.col)
 
 
 def _moment(v: Typed, kinds: tuple[str, ...]) -> Column | None:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import patterns
-from ..functions.columns import NULL, NUMERIC, TEXT, TIME, NotStatic, Typed, cast, column, constant, elements, equal_values, not_nan, number, one_of, same_list, string, truthy
+from ..functions.columns import NULL, NUMERIC, SPARK_TYPES, TEXT, TIME, NotStatic, Typed, cast, column, constant, elements, equal_values, item, not_nan, number, one_of, same_list, string, truthy
 from ..functions.library import LIBRARY, alike
 from ..functions.values import FUNCTIONS, evaluate, try_cast
 from ..plans.nodes import Binary, Call, Expr, Field, ListOf, Literal, Unary
@@ -55,11 +55,10 @@ class Compiler:
         if any(i.kind == "list" for i in items):
             raise NotStatic("a list in a list")
         known = tuple(i for i in items if i.kind != "null")
-        lists = alike(known) if known else []
-        if len(known) < len(items):
-            item = lists[0].item if lists else "string"
-            return Typed(F.array(*(NULL.col.cast("string") if i.kind == "null" else i.col for i in items)), "list", item)
-        return Typed(F.concat(*(x.col for x in lists)), "list", lists[0].item)
+        kind = (lists := alike(known))[0].item if known else "string"
+        nothing = F.array(F.lit(None).cast(SPARK_TYPES[kind]))
+        rest = iter(lists if known else ())
+        return Typed(F.concat(*(nothing if i.kind == "null" else next(rest).col for i in items)), "list", kind)
 
     def _unary(self, e: Unary) -> Typed:
         if e.op == "not":
@@ -179,18 +178,18 @@ def compared_lists(op: str, a: Typed, b: Typed) -> Column:
             raise NotStatic("a list of several kinds")
         same = (a.col.isNull() & b.col.isNull()) | F.coalesce(both & same_list(a, b), F.lit(False))
         return same if op == "=" else ~same
-    item, items = (b, a) if a.kind == "list" else (a, b)
+    one, items = (b, a) if a.kind == "list" else (a, b)
     if op == "!=":
         # With a null on one side only, "!=" holds; with a list and a scalar, nothing does.
         either = F.lit(False)
         for t in (a, b):
             if t.item != "mixed":
                 either = either | t.col.isNull()
-        return either & ~(item.col.isNull() & (F.lit(False) if items.item == "mixed" else items.col.isNull()))
+        return either & ~(one.col.isNull() & (F.lit(False) if items.item == "mixed" else items.col.isNull()))
     if op == "=":
-        return item.col.isNull() & (F.lit(False) if items.item == "mixed" else items.col.isNull())
+        return one.col.isNull() & (F.lit(False) if items.item == "mixed" else items.col.isNull())
     if op == (">=" if a.kind == "list" else "<="):
-        return F.coalesce(both & one_of(item, items), F.lit(False))
+        return F.coalesce(both & one_of(one, items), F.lit(False))
     return F.lit(False)
 
 
@@ -202,11 +201,11 @@ def set_operation(op: str, a: Typed, b: Typed) -> Typed:
         raise NotStatic("a list of several kinds")
     known = a.col.isNotNull() if y.item == "mixed" else a.col.isNotNull() & b.col.isNotNull()
     if op == "<=>":
-        return Typed(F.when(known, F.filter(x.col, lambda v: one_of(Typed(v, x.item), y))), "list", x.item)
+        return Typed(F.when(known, F.filter(x.col, lambda v: one_of(item(v, x.item), y))), "list", x.item)
     x, y = alike((x, y))
     if x.item in ("number", "list"):
         raise NotStatic("items that array_distinct tells apart otherwise")
-    more = F.array_distinct(F.filter(y.col, lambda v: ~one_of(Typed(v, y.item), Typed(x.col, "list", x.item))))
+    more = F.array_distinct(F.filter(y.col, lambda v: ~one_of(item(v, y.item), Typed(x.col, "list", x.item))))
     return Typed(F.when(known, F.concat(x.col, more)), "list", x.item)
 
 
@@ -267,6 +266,6 @@ def sort_key(t: Typed) -> Column:
 def shown(t: Typed) -> Column:
     """The text of a value in results; null for null."""
     if t.kind == "list":
-        items = F.transform(t.col, lambda x: F.coalesce(string(Typed(x, t.item)).col, F.lit("")))
+        items = F.transform(t.col, lambda x: F.coalesce(string(item(x, t.item)).col, F.lit("")))
         return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
     return string(t).col

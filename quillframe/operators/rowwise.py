@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import Value, evaluate, format_value, from_python, order, truthy
-from ..plans.nodes import Select, column_name
+from ..functions.columns import NotStatic
+from ..functions.values import Value, evaluate, format_value, order, truthy
+from ..plans.nodes import Expr, Select, column_name
+from .compiler import Compiler
 
 
 def sort_parts(v: Value) -> dict:
@@ -31,9 +33,22 @@ SORT_DDL = "struct<rank: int, number: double, time: bigint, text: string>"
 by_order = functools.cmp_to_key(order)
 
 
+#: Kinds that stay as they are, in Arrow's types and Spark's.
+KINDS = {"int": (pa.int64(), "bigint"), "number": (pa.float64(), "double"), "bool": (pa.bool_(), "boolean")}
+TEXT = (pa.string(), "string")
+
+
+def static_kind(df: DataFrame, e: Expr) -> str | None:
+    try:
+        return Compiler(df.schema).value(e).kind
+    except NotStatic:
+        return None
+
+
 def select(df: DataFrame, q: Select) -> DataFrame:
-    """Filter, sort, limit and project; results are text, as no column has one type."""
+    """Filter, sort, limit and project. Columns whose kind is known keep its type; the others are text."""
     names = [column_name(e, i) for i, e in enumerate(q.columns)]
+    kinds = [static_kind(df, e) for e in q.columns]
     sources = df.columns
 
     def run(batches):
@@ -43,15 +58,15 @@ def select(df: DataFrame, q: Select) -> DataFrame:
                 row = dict(zip(sources, values))
                 if q.where is not None and not truthy(evaluate(q.where, row)):
                     continue
-                for out, e in zip(cells, q.columns):
+                for out, e, kind in zip(cells, q.columns, kinds):
                     v = evaluate(e, row)
-                    out.append(None if v is None else format_value(v))
+                    out.append(None if v is None else v[1] if v[0] == kind else format_value(v))
                 for out, t in zip(keys, q.sort):
                     out.append(sort_parts(evaluate(t.expr, row)))
-            columns = [pa.array(c, pa.string()) for c in cells] + [pa.array(k, SORT_TYPE) for k in keys]
+            columns = [pa.array(c, KINDS.get(k, TEXT)[0]) for c, k in zip(cells, kinds)] + [pa.array(k, SORT_TYPE) for k in keys]
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(names))] + [f"k{i}" for i in range(len(q.sort))])
 
-    ddl = [f"c{i} string" for i in range(len(names))] + [f"k{i} {SORT_DDL}" for i in range(len(q.sort))]
+    ddl = [f"c{i} {KINDS.get(k, TEXT)[1]}" for i, k in enumerate(kinds)] + [f"k{i} {SORT_DDL}" for i in range(len(q.sort))]
     out = df.mapInArrow(run, ", ".join(ddl))
     if q.sort:
         out = out.orderBy(*(F.col(f"k{i}").desc() if t.descending else F.col(f"k{i}").asc() for i, t in enumerate(q.sort)))
@@ -59,5 +74,3 @@ def select(df: DataFrame, q: Select) -> DataFrame:
         out = out.limit(q.limit)
     return out.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
 
-
-__all__ = ["select", "sort_parts", "SORT_DDL", "SORT_TYPE", "by_order", "from_python"]

@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import SPARK_TYPES, NotStatic, Typed, cast, column, elements, one_of
+from ..functions.columns import SPARK_TYPES, NotStatic, Typed, cast, column, elements, item, one_of
 from ..plans.nodes import Assign, Drop, Rename, Select, Statement, Update, column_name
 from .compiler import Compiler, sort_key
 
@@ -153,8 +153,8 @@ def _added(old: Typed | None, new: Typed) -> Typed:
     if items.item == "mixed":
         raise NotStatic("a list of several kinds")
     if new.kind == "null":
-        item = elements(old).item if old is not None and old.kind != "null" else "string"
-        items = Typed(F.array(F.lit(None).cast(SPARK_TYPES[item])), "list", item)
+        kind = elements(old).item if old is not None and old.kind != "null" else "string"
+        items = Typed(F.array(F.lit(None).cast(SPARK_TYPES[kind])), "list", kind)
     if old is None or old.kind == "null":
         start = Typed(F.array().cast(f"array<{SPARK_TYPES[items.item]}>"), "list", items.item)
     else:
@@ -170,7 +170,7 @@ def _added(old: Typed | None, new: Typed) -> Typed:
         items = Typed(F.coalesce(items.col, F.array(F.lit(None)).cast(f"array<{SPARK_TYPES[items.item]}>")), "list", items.item)
 
     def add(acc: Column, x: Column) -> Column:
-        held = F.exists(acc, lambda y: y.isNull()) if items.item == "null" else F.when(x.isNull(), F.exists(acc, lambda y: y.isNull())).otherwise(one_of(Typed(x, items.item), Typed(acc, "list", items.item)))
+        held = F.exists(acc, lambda y: y.isNull()) if items.item == "null" else F.when(x.isNull(), F.exists(acc, lambda y: y.isNull())).otherwise(one_of(item(x, items.item), Typed(acc, "list", items.item)))
         return F.when(held, acc).otherwise(F.concat(acc, F.array(x)))
 
     return Typed(F.aggregate(items.col, start.col, add), "list", items.item)
@@ -178,7 +178,7 @@ def _added(old: Typed | None, new: Typed) -> Typed:
 
 def _removed(old: Typed, new: Typed) -> Typed:
     items = elements(new)
-    gone = (lambda x: x.isNull()) if new.kind == "null" else lambda x: F.when(x.isNull(), F.exists(items.col, lambda y: y.isNull()) if items.item != "mixed" else F.lit(False)).otherwise(one_of(Typed(x, old.item), items))
+    gone = (lambda x: x.isNull()) if new.kind == "null" else lambda x: F.when(x.isNull(), F.exists(items.col, lambda y: y.isNull()) if items.item != "mixed" else F.lit(False)).otherwise(one_of(item(x, old.item), items))
     return Typed(F.filter(old.col, lambda x: ~gone(x)), "list", old.item)
 
 
