@@ -7,6 +7,7 @@ import sys
 from dataclasses import dataclass, field, replace
 from typing import TextIO
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,8 +67,12 @@ class Tables:
         try:
             return statements.select(df, q, self.tie_break(q.sources) if stable and q.sort else (), max_columns)
         except NotStatic:
-            with statements.legacy(self.spark):
-                return rowwise.select(df, q)
+            pass
+        except AnalysisException as e:
+            # Numbers become text in Python, which can't run inside functions over lists.
+            if e.getCondition() != "UNSUPPORTED_FEATURE.LAMBDA_FUNCTION_WITH_PYTHON_UDF":
+                raise
+        return rowwise.select(df, q)
 
     def run(self, text: str) -> list[DataFrame]:
         """Run a program; the DataFrame of each statement, which for a mutation is the changed table."""

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions import patterns
 from ..functions.columns import NULL, NUMERIC, SPARK_TYPES, TEXT, TIME, NotStatic, Typed, cast, column, constant, elements, equal_values, item, not_nan, number, one_of, same_list, string, truthy
 from ..functions.library import LIBRARY, alike
-from ..functions.values import FUNCTIONS, evaluate, try_cast
+from ..functions.values import FUNCTIONS, evaluate, format_value, try_cast
 from ..plans.nodes import Binary, Call, Expr, Field, ListOf, Literal, Unary
 
 COMPARISONS = ("=", "!=", "<", "<=", ">", ">=")
@@ -265,6 +265,8 @@ def sort_key(t: Typed) -> Column:
 
 def shown(t: Typed) -> Column:
     """The text of a value in results; null for null."""
+    if t.is_const:
+        return F.lit(None if t.const is None else format_value(t.const)).cast("string")
     if t.kind == "list":
         items = F.transform(t.col, lambda x: F.coalesce(string(item(x, t.item)).col, F.lit("")))
         return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))

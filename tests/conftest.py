@@ -14,6 +14,7 @@ def spark():
 
     session = local_session(cores=4, memory="4g", shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.maxMetadataStringLength", "2000")
     yield session
 
 
