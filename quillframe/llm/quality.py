@@ -109,19 +109,27 @@ def rules() -> dict[str, Column]:
     }
 
 
+#: What a rule is believed to do before any text is seen: rates of its votes over bad (0) and good (1) texts, worth this share of all texts.
+BELIEF = {0: {-1: 0.35, 0: 0.15, 1: 0.5}, 1: {-1: 0.02, 0: 0.08, 1: 0.9}}
+BELIEF_SHARE = 0.05
+
+
 def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 60) -> tuple[float, dict[str, dict[int, float]]]:
     """Prior log-odds of good and, for each rule and vote, the log-odds that the vote adds.
 
     patterns: votes in the order of names, with the number of texts that have them.
-    The first round takes the votes' sum; then posteriors and vote rates are
-    estimated in turn. Rates are smoothed, and an informative vote is kept from
-    counting against its own direction, so that the two classes can't swap names.
+    Posteriors and vote rates are estimated in turn, from a start by the counts
+    of votes. Rates are drawn towards BELIEF, and a vote never counts against its
+    own direction, so that the two classes can't swap names and a rule that only
+    a rare kind of junk sets off keeps its say.
     """
-    post = [1 / (1 + math.exp(-1.2 * sum(votes) - 0.5)) for votes, _ in patterns]
     prior, weights = 0.0, {r: {v: 0.7 * v for v in (-1, 0, 1)} for r in names}
     total = sum(c for _, c in patterns)
     if not total:
         return prior, weights
+    # A rule seldom calls a good text bad, so at first one such vote outweighs several good ones.
+    post = [_sigmoid(0.5 + 0.5 * votes.count(1) - 2.0 * votes.count(-1)) for votes, _ in patterns]
+    strength = BELIEF_SHARE * total + 2
     for _ in range(rounds):
         good = sum(p * c for p, (_, c) in zip(post, patterns))
         share = min(max((good + 1) / (total + 2), 0.02), 0.98)
@@ -130,12 +138,17 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], roun
             for v in (-1, 0, 1):
                 g = sum(p * c for p, (votes, c) in zip(post, patterns) if votes[k] == v)
                 b = sum((1 - p) * c for p, (votes, c) in zip(post, patterns) if votes[k] == v)
-                lean = math.log(((g + 0.5) / (good + 1.5)) / ((b + 0.5) / (total - good + 1.5)))
-                weights[rule][v] = 0.0 if v == 0 else v * min(max(v * lean, 0.0), 4.0)
-        post = [1 / (1 + math.exp(-min(max(prior + sum(weights[r][v] for r, v in zip(names, votes)), -30), 30))) for votes, _ in patterns]
+                g = (g + strength * BELIEF[1][v]) / (good + strength)
+                b = (b + strength * BELIEF[0][v]) / (total - good + strength)
+                weights[rule][v] = 0.0 if v == 0 else v * min(max(v * math.log(g / b), 0.0), 4.0)
+        post = [_sigmoid(prior + sum(weights[r][v] for r, v in zip(names, votes))) for votes, _ in patterns]
     return prior, weights
 
 
+def _sigmoid(x: float) -> float:
+    return 1 / (1 + math.exp(-min(max(x, -30.0), 30.0)))
+
+
 def verdicts(documents: DataFrame) -> DataFrame:
     """The base counts of each document with base_failed, the posterior probability of being good, and kept."""
     votes = rules()
