@@ -102,7 +102,8 @@ def rules() -> dict[str, Column]:
         "capitals": _vote(_share("n_capitals", "word_chars"), lambda x: x > 0.3, lambda x: x < 0.12),
         "exclaims": _vote(_share("n_exclaims"), lambda x: x > 0.1, lambda x: x < 0.02),
         "repeats": _vote(_share("n_repeat_words"), lambda x: x > 0.25, lambda x: x < 0.1),
-        "lines": _vote(_share("n_dup_lines", "n_lines"), lambda x: x > 0.3, lambda x: x == 0),
+        # Of few lines, one that comes twice (a heading, a signature) says nothing yet.
+        "lines": _vote(F.when(F.col("n_dup_lines").isin(1, 2), 0.1).otherwise(_share("n_dup_lines", "n_lines")), lambda x: x > 0.3, lambda x: x == 0),
         "stop_words": _vote(_share("n_stop"), lambda x: x < 0.05, lambda x: x > 0.12),
         "endings": _vote(_share("n_ended", "n_lines"), lambda x: x < 0.25, lambda x: x > 0.6),
         "word_length": _vote(_share("word_chars"), lambda x: (x < 2.5) | (x > 12), lambda x: (x > 3) & (x < 9)),
