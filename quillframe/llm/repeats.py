@@ -299,7 +299,8 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     # Large groups: strings of the side, as hashes of what lies around the anchor; equal ones are counted wherever they are.
     offset = F.explode(F.when(F.col("side") == 0, F.sequence(F.lit(HALF), F.lit(CONTEXT))).otherwise(F.sequence(F.lit(0), F.lit(HALF - 1)))).alias("l")
     large = fetched.filter("large").select("*", offset).filter((F.col("l") <= F.octet_length("before")) & (CONTEXT - F.col("l") <= F.octet_length("after")))
-    around = F.concat(F.expr("right(before, l)"), F.expr(f"left(after, {CONTEXT} - l)"))
+    # substring() takes bytes of a binary column, where left() and right() would read it as text.
+    around = F.concat(F.expr("substring(before, octet_length(before) - l + 1, l)"), F.expr(f"substring(after, 1, {CONTEXT} - l)"))
     strings = large.select("k1", "k2", "place", "asks", "side", "key", "l", F.xxhash64(around).alias("h"), F.xxhash64(F.lit(5), around).alias("g"))
     repeated = strings.groupBy("side", "key", "l", "h", "g").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     begun = strings.filter("asks").join(repeated, ["side", "key", "l", "h", "g"]).select("k1", "k2", (F.col("place") - F.col("l")).alias("a"), (F.col("place") - F.col("l") + LENGTH).alias("b"))
