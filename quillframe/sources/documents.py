@@ -28,7 +28,7 @@ from .headers import HeaderError, decode, parse, render
 from .languages import Language
 from .listing import expand, is_pattern
 
-NO_HEADER = "no frontmatter block; name the file explicitly or pass --lang to insert one"
+NO_HEADER = "no header; name the file explicitly or pass --lang to insert one"
 
 
 class RowError(ValueError):

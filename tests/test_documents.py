@@ -106,7 +106,7 @@ def test_updates_are_written_once_and_errors_stay_with_their_file(spark, folder)
 
 def test_new_headers_need_a_name_or_markdown(spark, folder):
     out = Documents(spark).run("update * set a = 1")
-    assert out.errors == [("tool.sh", "could not write: no frontmatter block; name the file explicitly or pass --lang to insert one")]
+    assert out.errors == [("tool.sh", "could not write: no header; name the file explicitly or pass --lang to insert one")]
     assert (folder / "c.md").read_text() == "---\na: 1\n---\nno header\n"
     assert Documents(spark).run("update tool.sh set a = 1").ok
     assert (folder / "tool.sh").read_text() == "#!/bin/sh\n# ---\n# a: 1\n# ---\necho\n"
