@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 from dataclasses import dataclass, field, replace
 from typing import TextIO
 
@@ -124,6 +125,15 @@ class Outcome:
         return "\n".join(r.text(render) for r in self.results if r.rows or not r.mutation)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as it is now, in the folder of checkpoints, which is a new one only where none is set."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillframe-"))
+    return df.checkpoint(eager=True)
+
+
 class Documents:
     """Programs over text files with headers."""
 
@@ -137,21 +147,18 @@ class Documents:
         program = parse_program(text) if isinstance(text, str) else text
         work = documents.plan(program, self.options)
         out = Outcome()
-        found = None
         if work.paths:
-            found = documents.events(self.spark, program, work, self.options, self.content)
-            # The tasks write files, so they run once; every result is read from what they said.
-            found = found.persist()
-            try:
-                said = found.filter(F.col("statement") < 0).orderBy("ord").select("path", "statement", F.when(F.col("statement") == FAILED, F.get("cells", F.lit(0))).alias("why"))
-                for r in said.collect():
-                    if r.statement == CHANGED:
+            # Kept where a lost executor can't take it: files are written from it, and what was read from them before.
+            found = kept(documents.events(self.spark, program, work, self.options, self.content))
+            said = [(r.ord, r.path, r.why) for r in found.filter(F.col("statement") == FAILED).select("ord", "path", F.get("cells", F.lit(0)).alias("why")).collect()]
+            if any(q.mutates for q in program.statements) and not self.options.dry_run:
+                for r in documents.write(found, self.options).orderBy("ord").collect():
+                    if r.why is None:
                         out.changed.append(r.path)
                     else:
-                        out.errors.append((r.path, r.why))
-                out.results = [self._result(found, q, i) for i, q in enumerate(program.statements)]
-            finally:
-                found.unpersist()
+                        said.append((r.ord, r.path, r.why))
+            out.errors = [(path, why) for _, path, why in sorted(said)]
+            out.results = [self._result(found, q, i) for i, q in enumerate(program.statements)]
         else:
             out.results = [self._result(None, q, i) for i, q in enumerate(program.statements)]
         return out
@@ -167,7 +174,7 @@ class Documents:
     def rendered(self, text: str) -> DataFrame:
         """(path, content) of the files that a program changes, without writing any."""
         program = parse_program(text)
-        options = replace(self.options, write=False, dry_run=False)
+        options = replace(self.options, dry_run=False)
         found = documents.events(self.spark, program, documents.plan(program, options), options, self.content)
         return found.filter(F.col("statement") == CHANGED).select("path", F.get("cells", F.lit(0)).alias("content"))
 

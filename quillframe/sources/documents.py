@@ -2,9 +2,10 @@
 
 One pass over the files does all the work of a program: each task reads its
 files, runs every statement on each in turn, and emits the rows that SELECTs
-and verbose mutations show, the files that changed, and errors. Sorting and
-limits are Spark's, over keys that the tasks emit, so no result is gathered
-before it has been cut.
+and verbose mutations show, the new content of files that changed, and errors.
+Sorting and limits are Spark's, over keys that the tasks emit, so no result is
+gathered before it has been cut. Files are written by a second pass over the
+emitted contents: a task that runs twice writes the same bytes twice.
 
 Files reach the tasks either as paths, which the tasks open themselves (a
 shared file system), or as a table of (path, content), which any Spark reader
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import CastError, cast, contains, evaluate, format_value, from_python, items_of, to_python, truthy
 from ..operators.rowwise import SORT_DDL, SORT_TYPE, sort_parts
-from ..plans.nodes import Assign, Drop, Program, Rename, Select, Statement, Update, column_name
+from ..plans.nodes import Assign, Drop, Program, Select, Statement, Update, column_name
 from .headers import HeaderError, decode, parse, render
 from .languages import Language
 from .listing import expand, is_pattern
@@ -106,7 +107,6 @@ class Options:
     max_columns: int = 20
     language: Language | None = None
     root: str = ""  # folder that relative paths start from
-    write: bool = True  # tasks write changed files themselves
 
 
 @dataclass
@@ -172,15 +172,7 @@ def run_file(program: Program, path: str, raw: bytes | None, statements: Iterabl
     if not (document.found or document.plain or options.language is not None or explicit):
         yield FAILED, [f"could not write: {NO_HEADER}"], []
         return
-    content = render(document, row)
-    if options.write:
-        try:
-            with open(os.path.join(options.root, path), "wb") as f:
-                f.write(content.encode())
-        except OSError as e:
-            yield FAILED, [f"could not write: {e}"], []
-            return
-    yield CHANGED, [content], []
+    yield CHANGED, [render(document, row)], []
 
 
 def events(spark: SparkSession, program: Program, work: Work, options: Options, content: DataFrame | None = None) -> DataFrame:
@@ -204,6 +196,25 @@ def events(spark: SparkSession, program: Program, work: Work, options: Options,
     return files.mapInArrow(run, EVENT_DDL)
 
 
+def write(found: DataFrame, options: Options) -> DataFrame:
+    """Write the changed files among what events() found; (ord, path, why), why is null where it went well."""
+    root = options.root
+
+    def run(batches):
+        for batch in batches:
+            why = []
+            for path, cells in zip(batch.column("path").to_pylist(), batch.column("cells").to_pylist()):
+                try:
+                    with open(os.path.join(root, path), "wb") as f:
+                        f.write(cells[0].encode())
+                    why.append(None)
+                except OSError as e:
+                    why.append(f"could not write: {e}")
+            yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("path"), pa.array(why, pa.string())], names=["ord", "path", "why"])
+
+    return found.filter(F.col("statement") == CHANGED).select("ord", "path", "cells").mapInArrow(run, "ord bigint, path string, why string")
+
+
 def rows_of(found: DataFrame, q: Statement, i: int) -> DataFrame:
     """(ord, path, cells) that statement i shows, sorted and cut as it says."""
     out = found.filter(F.col("statement") == i)
@@ -215,6 +226,3 @@ def rows_of(found: DataFrame, q: Statement, i: int) -> DataFrame:
             keys.append(key.desc() if t.descending else key.asc())
     out = out.orderBy(*keys, "ord")
     return out.limit(q.limit) if isinstance(q, Select) and q.limit else out
-
-
-__all__ = ["Options", "Work", "plan", "events", "rows_of", "run_file", "apply", "Rename"]
