@@ -155,7 +155,7 @@ def _hex(column: str) -> Column:
 def keep_one(documents: DataFrame) -> DataFrame:
     """documents with one row of each component: that of the smallest doc_id, and one of its repeats."""
     names = documents.columns
-    numbered = documents.schema.add("__row", T.LongType()).add("__fp", T.LongType())
+    numbered = T.StructType([*documents.schema.fields, T.StructField("__row", T.LongType()), T.StructField("__fp", T.LongType())])
 
     def run(batches):
         for batch in batches:
