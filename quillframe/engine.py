@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import NotStatic
+from .functions.values import evaluate, truthy
 from .operators import rowwise, statements
 from .plans.nodes import Program, Select, Statement, column_name
 from .plans.parser import parse_program, parse_query
 from .render import RENDERERS, Renderer, footer
-from .sources import documents
-from .sources.documents import CHANGED, FAILED, Options
+from .sources import documents, stores
+from .sources.documents import CHANGED, FAILED, Options, Work
 
 
 # -- tables with a schema
@@ -134,35 +135,75 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-class Documents:
-    """Programs over text files with headers."""
+class Records:
+    """Programs over the records of a store."""
 
-    def __init__(self, spark: SparkSession, options: Options | None = None, content: DataFrame | None = None):
-        options = options or Options()
-        # Tasks run in folders of their own, so paths start from where the caller is.
-        self.options = options if options.root else replace(options, root=os.getcwd())
-        self.spark, self.content = spark, content
+    def __init__(self, spark: SparkSession, store: stores.Store, options: Options | None = None):
+        self.spark, self.store, self.options = spark, store, options or Options()
+
+    def _plan(self, program: Program) -> Work:
+        return stores.plan(program, self.store, self.options)
+
+    def _events(self, program: Program, work: Work) -> DataFrame:
+        return stores.events(self.spark, program, self.store, work, self.options)
+
+    def _write(self, found: DataFrame) -> DataFrame:
+        return stores.write(found, self.store)
 
     def run(self, text: str | Program) -> Outcome:
         program = parse_program(text) if isinstance(text, str) else text
-        work = documents.plan(program, self.options)
-        out = Outcome()
+        work = self._plan(program)
+        out, found = Outcome(), None
         if work.paths:
-            # Kept where a lost executor can't take it: files are written from it, and what was read from them before.
-            found = kept(documents.events(self.spark, program, work, self.options, self.content))
+            # Kept where a lost executor can't take it: records are written from it, and what was read from them before.
+            found = kept(self._events(program, work))
             said = [(r.ord, r.path, r.why) for r in found.filter(F.col("statement") == FAILED).select("ord", "path", F.get("cells", F.lit(0)).alias("why")).collect()]
             if any(q.mutates for q in program.statements) and not self.options.dry_run:
-                for r in documents.write(found, self.options).orderBy("ord").collect():
+                for r in self._write(found).orderBy("ord").collect():
                     if r.why is None:
                         out.changed.append(r.path)
                     else:
                         said.append((r.ord, r.path, r.why))
             out.errors = [(path, why) for _, path, why in sorted(said)]
-            out.results = [self._result(found, q, i) for i, q in enumerate(program.statements)]
-        else:
-            out.results = [self._result(None, q, i) for i, q in enumerate(program.statements)]
+        out.results = [self._result(found, q, i, i in work.empty) for i, q in enumerate(program.statements)]
         return out
 
+    def _result(self, found: DataFrame | None, q: Statement, i: int, empty: bool) -> Result:
+        if empty and self.options.strict and not q.mutates:
+            # Evaluated once, over a record without fields and without a name.
+            show = q.where is None or truthy(evaluate(q.where, {}))
+            cells = documents.shown(q, {})[0] if show else []
+            return Result([column_name(e, k) for k, e in enumerate(q.columns)], [cells[1::2]] if show else [])
+        rows = [] if found is None else [(r.path, r.cells) for r in documents.rows_of(found, q, i).select("path", "cells").collect()]
+        if isinstance(q, Select) and q.star:
+            pairs = [dict(zip(cells[::2], cells[1::2])) for _, cells in rows]
+            names = sorted({n for p in pairs for n in p}, key=lambda n: n.encode())
+            most = self.options.max_columns
+            hidden = max(0, len(names) - most) if most > 0 else 0
+            names = names[: len(names) - hidden]
+            return Result(["filename", *names], [[path, *(p.get(n, "") for n in names)] for (path, _), p in zip(rows, pairs)], hidden)
+        headers = ["filename", *(column_name(e, k) for k, e in enumerate(q.columns))]
+        return Result(headers, [[path, *cells[1::2]] for path, cells in rows], mutation=q.mutates)
+
+
+class Documents(Records):
+    """Programs over text files with headers."""
+
+    def __init__(self, spark: SparkSession, options: Options | None = None, content: DataFrame | None = None):
+        options = options or Options()
+        # Tasks run in folders of their own, so paths start from where the caller is.
+        self.options = options if options.root else replace(options, root=os.getcwd())
+        self.spark, self.content = spark, content
+
+    def _plan(self, program: Program) -> Work:
+        return documents.plan(program, self.options)
+
+    def _events(self, program: Program, work: Work) -> DataFrame:
+        return documents.events(self.spark, program, work, self.options, self.content)
+
+    def _write(self, found: DataFrame) -> DataFrame:
+        return documents.write(found, self.options)
+
     def query(self, text: str) -> DataFrame:
         """The rows of one SELECT as a DataFrame: filename and a map of the shown cells' texts."""
         program = Program((parse_query(text),))
@@ -178,18 +219,6 @@ class Documents:
         found = documents.events(self.spark, program, documents.plan(program, options), options, self.content)
         return found.filter(F.col("statement") == CHANGED).select("path", F.get("cells", F.lit(0)).alias("content"))
 
-    def _result(self, found: DataFrame | None, q: Statement, i: int) -> Result:
-        rows = [] if found is None else [(r.path, r.cells) for r in documents.rows_of(found, q, i).select("path", "cells").collect()]
-        if isinstance(q, Select) and q.star:
-            pairs = [dict(zip(cells[::2], cells[1::2])) for _, cells in rows]
-            names = sorted({n for p in pairs for n in p}, key=lambda n: n.encode())
-            most = self.options.max_columns
-            hidden = max(0, len(names) - most) if most > 0 else 0
-            names = names[: len(names) - hidden]
-            return Result(["filename", *names], [[path, *(p.get(n, "") for n in names)] for (path, _), p in zip(rows, pairs)], hidden)
-        headers = ["filename", *(column_name(e, k) for k, e in enumerate(q.columns))]
-        return Result(headers, [[path, *cells[1::2]] for path, cells in rows], mutation=q.mutates)
-
 
 def execute(spark: SparkSession, text: str, options: Options | None = None, format: str = "simple", out: TextIO | None = None, err: TextIO | None = None, silent: bool = False) -> bool:
     """Run a program over files and print what it shows; whether every file went well."""

@@ -38,7 +38,7 @@ class RowError(ValueError):
 
 # -- statements on one row; a row is a dict and is changed in place
 
-def apply(q: Statement, row: dict) -> bool:
+def apply(q: Statement, row: dict, strict: bool = False) -> bool:
     """Run a mutation on row; whether row matched."""
     if q.where is not None and not truthy(evaluate(q.where, row)):
         return False
@@ -50,8 +50,10 @@ def apply(q: Statement, row: dict) -> bool:
             row.pop(f.name, None)
     else:
         for old, new in q.pairs:
-            if old in row and old != new:
-                row[new] = row.pop(old)
+            if old in row and (old != new or strict):
+                value = row.pop(old)
+                if old != new:
+                    row[new] = value
     return True
 
 
@@ -107,6 +109,7 @@ class Options:
     max_columns: int = 20
     language: Language | None = None
     root: str = ""  # folder that relative paths start from
+    strict: bool = False  # also what is hardly meant: "rename a to a" drops a; sources that name nothing show one row
 
 
 @dataclass
@@ -118,20 +121,23 @@ class Work:
     explicit: set[str] = field(default_factory=set)
     empty: list[int] = field(default_factory=list)  # statements whose sources name no file
 
+    def add(self, statement: int, found: list[str], explicit: Iterable[str]) -> None:
+        self.explicit.update(explicit)
+        if not found:
+            self.empty.append(statement)
+        for path in found:
+            if path not in self.statements:
+                self.paths.append(path)
+            seen = self.statements.setdefault(path, [])
+            if statement not in seen:
+                seen.append(statement)
+
 
 def plan(program: Program, options: Options) -> Work:
     work = Work()
     for i, q in enumerate(program.statements):
         found = expand(q.sources, options.include_hidden, options.language is not None, options.root)
-        work.explicit.update(w for w in q.sources if not is_pattern(w))
-        if not found:
-            work.empty.append(i)
-        for path in found:
-            if path not in work.statements:
-                work.paths.append(path)
-            seen = work.statements.setdefault(path, [])
-            if i not in seen:
-                seen.append(i)
+        work.add(i, found, [w for w in q.sources if not is_pattern(w)])
     return work
 
 
@@ -151,28 +157,37 @@ def run_file(program: Program, path: str, raw: bytes | None, statements: Iterabl
     except (OSError, HeaderError) as e:
         yield FAILED, [f"could not read: {e}"], []
         return
-    row, changed = dict(document.fields), False
+    row = dict(document.fields)
+    for event in run_statements(program, statements, row, options):
+        if event[0] != CHANGED:
+            yield event
+        elif document.found or document.plain or options.language is not None or explicit:
+            yield CHANGED, [render(document, row)], []
+        else:
+            yield FAILED, [f"could not write: {NO_HEADER}"], []
+
+
+def run_statements(program: Program, statements: Iterable[int], row: dict, options: Options) -> list[tuple[int, list, list]]:
+    """Run statements on row, which is changed in place; what they show, and CHANGED at the end if row is to be written.
+
+    The first error ends the row: what was shown before stays, and nothing is written.
+    """
+    out, changed = [], False
     for i in statements:
         q = program.statements[i]
-        if not q.mutates:
-            if q.where is None or truthy(evaluate(q.where, row)):
-                yield i, *shown(q, row)
-            continue
-        try:
-            matched = apply(q, row)
-        except RowError as e:
-            yield FAILED, [str(e)], []
-            return
-        if matched:
+        if q.mutates:
+            try:
+                if not apply(q, row, options.strict):
+                    continue
+            except RowError as e:
+                return [*out, (FAILED, [str(e)], [])]
             changed = True
-            if options.verbose:
-                yield i, *shown(q, row)
-    if not changed or options.dry_run:
-        return
-    if not (document.found or document.plain or options.language is not None or explicit):
-        yield FAILED, [f"could not write: {NO_HEADER}"], []
-        return
-    yield CHANGED, [render(document, row)], []
+            if not options.verbose:
+                continue
+        elif q.where is not None and not truthy(evaluate(q.where, row)):
+            continue
+        out.append((i, *shown(q, row)))
+    return [*out, (CHANGED, [], [])] if changed and not options.dry_run else out
 
 
 def events(spark: SparkSession, program: Program, work: Work, options: Options, content: DataFrame | None = None) -> DataFrame:

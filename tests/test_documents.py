@@ -1,10 +1,12 @@
 import os
+import sys
 from datetime import datetime
 
 import pytest
+from pyspark import cloudpickle
 
 from quillframe.cli import main
-from quillframe.engine import Documents
+from quillframe.engine import Documents, Records
 from quillframe.sources import languages
 from quillframe.sources.documents import Options
 from quillframe.sources.headers import HeaderError, dump_fields, load_fields, parse, render
@@ -140,3 +142,52 @@ def test_command_line(spark, folder, capsys):
     assert main(["update * set z = 1", "-d", "-s"], spark) == 0 and os.path.exists("a.md")
     assert main(["select title from *", "-L", "shell", "--format", "md"], spark) == 1  # a binary file is found too
     assert "| a.md |  |" in capsys.readouterr().out
+
+
+# Tasks can't import this module, so its class is sent along.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+class Shelf:
+    """A store in a folder of JSON files."""
+
+    def __init__(self, folder):
+        self.folder = str(folder)
+
+    def enumerate(self, words, include_hidden):
+        return [f"{w}/{n}" for w in words for n in sorted(os.listdir(os.path.join(self.folder, w)))]
+
+    def read(self, key):
+        import json
+
+        with open(os.path.join(self.folder, key)) as f:
+            return json.load(f)
+
+    def write(self, key, fields):
+        import json
+
+        if fields.get("locked"):
+            raise ValueError("locked")
+        with open(os.path.join(self.folder, key), "w") as f:
+            json.dump(fields, f)
+
+    def label(self, key):
+        return key.removesuffix(".json")
+
+
+def test_a_store_of_one_s_own(spark, tmp_path):
+    (tmp_path / "box").mkdir()
+    for name, text in {"a.json": '{"n": 1}', "b.json": '{"n": 2, "locked": true}', "c.json": "broken"}.items():
+        (tmp_path / "box" / name).write_text(text)
+    records = Records(spark, Shelf(tmp_path))
+    out = records.run("update box set n = n + 10, tags += 'x'; select n, tags from box sort by n desc")
+    assert out.results[1].rows == [["box/b", "12", "[x]"], ["box/a", "11", "[x]"]] and out.changed == ["box/a"]
+    assert [p for p, _ in out.errors] == ["box/b", "box/c"] and out.errors[0][1] == "could not write: locked"
+    assert (tmp_path / "box/a.json").read_text() == '{"n": 11, "tags": ["x"]}'
+
+
+def test_strictness(spark, folder):
+    text = "select 1 + 1, missing from nothing*.md; alter a.md rename title to title; select title from a.md"
+    loose, strict = (Documents(spark, Options(dry_run=True, strict=s)).run(text) for s in (False, True))
+    assert loose.results[0].rows == [] and loose.results[2].rows == [["a.md", "Alpha"]]
+    assert strict.results[0].headers == ["expr1", "missing"] and strict.results[0].rows == [["2", ""]] and strict.results[2].rows == [["a.md", ""]]
