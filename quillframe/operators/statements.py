@@ -6,10 +6,11 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import SPARK_TYPES, NotStatic, Typed, cast, column, elements, item, one_of
+from ..functions.columns import SPARK_TYPES, NotStatic, Typed, cast, column, elements, item, kind_of_type, one_of, string
 from ..plans.nodes import Assign, Drop, Rename, Select, Statement, Update, column_name
-from .compiler import Compiler, sort_key
+from .compiler import Compiler, shown, sort_key
 
 ERROR = "_error"
 #: SELECT * shows at most this many columns unless told otherwise; 0: all.
@@ -88,7 +89,7 @@ def update(df: DataFrame, q: Update) -> DataFrame:
             continue
         now = F.col(f"`{f.name}`")
         if checked:
-            old = F.col("__before")[f.name].cast(f.dataType) if f.name in before else F.lit(None).cast(f.dataType)
+            old = _as(F.col("__before")[f.name], before[f.name], f.dataType) if f.name in before else F.lit(None).cast(f.dataType)
             now = F.when(failed, old).otherwise(now)
         out.append(now.alias(f.name))
     if checked or ERROR in names:
@@ -96,6 +97,22 @@ def update(df: DataFrame, q: Update) -> DataFrame:
     return state.select(*out)
 
 
+def _as(x: Column, was: T.DataType, now: T.DataType) -> Column:
+    """A column's former values in the type that it has now: the same, or as text, or as a list."""
+    if was == now:
+        return x
+    kind, item_kind = kind_of_type(was)
+    old = Typed(x.cast("timestamp_ntz") if kind == "temporal" else x, kind, item_kind)
+    if isinstance(now, T.ArrayType):
+        return F.when(x.isNotNull(), strings(elements(old)).col).cast(now)
+    return shown(old) if isinstance(now, T.StringType) else x.cast(now)
+
+
+def strings(t: Typed) -> Typed:
+    """A list with its items as text; null items stay."""
+    return t if t.item == "string" else Typed(F.transform(t.col, lambda x: string(item(x, t.item)).col), "list", "string")
+
+
 def _assign(state: DataFrame, a: Assign) -> DataFrame:
     name = a.target.name
     fields = {f.name: f.dataType for f in state.schema.fields if not f.name.startswith("__")}
@@ -139,12 +156,9 @@ def _blend(on: Column, new: Typed, old: Typed | None) -> Column:
         return F.when(on, cast(new, "number").col).otherwise(cast(old, "number").col)
     if {new.kind, old.kind} <= {"date", "datetime", "temporal"}:
         return F.when(on, new.col.cast("timestamp_ntz")).otherwise(old.col.cast("timestamp_ntz"))
-    if isinstance(on, Column) and new.kind == "list" and old.kind != "list":
-        held = elements(cast(old, "string"))
-        return F.when(on, cast(new, "list").as_type()).when(old.col.isNotNull(), held.as_type())
+    if new.kind == "list" and new.item != "mixed":
+        return F.when(on, strings(new).col).when(old.col.isNotNull(), strings(elements(old)).col)
     # A table column has one type: what differs in kind is kept as text.
-    from .compiler import shown
-
     return F.when(on, shown(new)).otherwise(shown(old))
 
 
@@ -161,19 +175,20 @@ def _added(old: Typed | None, new: Typed) -> Typed:
         start = elements(old)
         empty = F.array().cast(f"array<{SPARK_TYPES[start.item]}>")
         start = Typed(F.when(old.col.isNull(), empty).otherwise(start.col), "list", start.item)
-    if start.item != items.item:
-        if {start.item, items.item} <= {"int", "number"}:
-            start, items = (Typed(t.col.cast("array<double>"), "list", "number") for t in (start, items))
-        else:
-            start, items = cast(start, "list"), cast(items, "list")
     if new.kind == "list":
         items = Typed(F.coalesce(items.col, F.array(F.lit(None)).cast(f"array<{SPARK_TYPES[items.item]}>")), "list", items.item)
 
-    def add(acc: Column, x: Column) -> Column:
-        held = F.exists(acc, lambda y: y.isNull()) if items.item == "null" else F.when(x.isNull(), F.exists(acc, lambda y: y.isNull())).otherwise(one_of(item(x, items.item), Typed(acc, "list", items.item)))
-        return F.when(held, acc).otherwise(F.concat(acc, F.array(x)))
-
-    return Typed(F.aggregate(items.col, start.col, add), "list", items.item)
+    def held(x: Column, among: Typed) -> Column:
+        return F.when(x.isNull(), F.exists(among.col, lambda y: y.isNull())).otherwise(one_of(item(x, items.item), among))
+
+    fresh = F.filter(items.col, lambda x: ~held(x, start))
+    nothing = F.array().cast(f"array<{SPARK_TYPES[items.item]}>")
+    fresh = F.aggregate(fresh, nothing, lambda acc, x: F.when(held(x, Typed(acc, "list", items.item)), acc).otherwise(F.concat(acc, F.array(x))))
+    if start.item == items.item:
+        return Typed(F.concat(start.col, fresh), "list", items.item)
+    if {start.item, items.item} <= {"int", "number"}:
+        return Typed(F.concat(start.col.cast("array<double>"), fresh.cast("array<double>")), "list", "number")
+    return Typed(F.concat(strings(start).col, strings(Typed(fresh, "list", items.item)).col), "list", "string")
 
 
 def _removed(old: Typed, new: Typed) -> Typed:

@@ -7,11 +7,12 @@ from datetime import date, datetime
 import pytest
 from pyspark.errors import AnalysisException
 
-from quillframe.functions.columns import NotStatic
+from quillframe.functions.columns import NotStatic, column
 from quillframe.functions.values import evaluate, format_value, from_python
 from quillframe.operators import statements
 from quillframe.operators.compiler import Compiler, shown
-from quillframe.plans.nodes import Binary, Call, Field, ListOf, Literal, Select, Unary
+from quillframe.plans.nodes import Assign, Binary, Call, Drop, Field, ListOf, Literal, Rename, Select, Unary, Update
+from quillframe.sources.documents import RowError, apply
 
 ROWS = [
     # s, n, i, d, b, t, dt, l, m
@@ -111,3 +112,44 @@ def test_random_conditions(spark, seed):
 
 def test_values_of_rows():
     assert [from_python(x)[0] for x in ROWS[0]] == ["string", "string", "int", "number", "bool", "date", "date", "list", "list"]
+
+
+def mutation(r: random.Random):
+    where = expression(r, 1) if r.random() < 0.5 else None
+    roll = r.random()
+    if roll < 0.75:
+        assigns = []
+        for _ in range(r.randint(1, 3)):
+            target, op = Field(r.choice([*NAMES, "new", "other"]), r.choice(["any"] * 4 + KINDS)), r.choice(["=", "=", "+=", "-=", None])
+            assigns.append(Assign(target) if op is None else Assign(target, op, expression(r, 1)))
+        return Update(("t",), tuple(assigns), where)
+    if roll < 0.87:
+        return Drop(("t",), tuple(Field(r.choice([*NAMES, "zz"])) for _ in range(r.randint(1, 2))), where)
+    return Rename(("t",), tuple((r.choice([*NAMES, "zz"]), r.choice([*NAMES, "nn"])) for _ in range(r.randint(1, 2))), where)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_mutations(spark, seed):
+    """Tables against single rows. A column has one type, so a scalar in a column of lists is a list of one."""
+    r = random.Random(seed)
+    df = spark.createDataFrame([(k, *row) for k, row in enumerate(ROWS)], "k bigint, " + DDL).coalesce(1)
+    for _ in range(8):
+        q = mutation(r)
+        try:
+            out = statements.mutate(df, q)
+            with statements.legacy(spark):
+                texts = out.select("k", *(shown(column(n, out.schema[n].dataType)).alias(n) for n in out.columns if n != "k"))
+        except (NotStatic, AnalysisException):
+            continue
+        got = {x.k: x.asDict() for x in texts.collect()}
+        for k, row in enumerate(ROWS):
+            want = dict(zip(NAMES, row))
+            try:
+                apply(q, want)
+                failed = False
+            except RowError:
+                want, failed = dict(zip(NAMES, row)), True
+            assert failed == (got[k].get("_error") is not None), (q, row)
+            for name in (set(want) | set(got[k])) - {"k", "_error"}:
+                text = None if want.get(name) is None else format_value(from_python(want[name]))
+                assert alike(text, got[k].get(name)) or f"[{text}]" == got[k].get(name), (q, row, name)
