@@ -34,7 +34,7 @@ SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Characters of new words that are indexed at once, and words that are remembered.
 INDEX_CHARS = 300_000
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 #: Words of more characters are relaxed one by one.
 LONG_WORD = 48
 
