@@ -187,7 +187,12 @@ class Records:
 
 
 class Documents(Records):
-    """Programs over text files with headers."""
+    """Programs over text files with headers, or over a table (path, content) of such documents.
+
+    Files are listed, read and written where paths lead from options.root. A
+    table's documents are found by their paths, and what changes is not written
+    but given by rendered().
+    """
 
     def __init__(self, spark: SparkSession, options: Options | None = None, content: DataFrame | None = None):
         options = options or Options()
@@ -196,27 +201,38 @@ class Documents(Records):
         self.spark, self.content = spark, content
 
     def _plan(self, program: Program) -> Work:
-        return documents.plan(program, self.options)
+        return Work(paths=["*"]) if self.content is not None else documents.plan(program, self.options)
 
     def _events(self, program: Program, work: Work) -> DataFrame:
-        return documents.events(self.spark, program, work, self.options, self.content)
+        if self.content is not None:
+            return documents.table_events(program, self.content, self.options)
+        return documents.events(self.spark, program, work, self.options)
 
     def _write(self, found: DataFrame) -> DataFrame:
-        return documents.write(found, self.options)
+        if self.content is None:
+            return documents.write(found, self.options)
+        return found.filter(F.col("statement") == CHANGED).select("ord", "path", F.lit(None).cast("string").alias("why"))
 
     def query(self, text: str) -> DataFrame:
-        """The rows of one SELECT as a DataFrame: filename and a map of the shown cells' texts."""
-        program = Program((parse_query(text),))
-        found = documents.events(self.spark, program, documents.plan(program, self.options), self.options, self.content)
-        rows = documents.rows_of(found, program.statements[0], 0)
-        cells = F.expr("map_from_arrays(transform(sequence(0, size(cells) div 2 - 1), i -> cells[2 * i]), transform(sequence(0, size(cells) div 2 - 1), i -> cells[2 * i + 1]))")
-        return rows.select(F.col("path").alias("filename"), F.when(F.size("cells") > 0, cells).alias("cells"))
+        """The rows of one SELECT as a DataFrame: filename, and a text column for each expression (a map of all fields for *)."""
+        q = parse_query(text)
+        if not isinstance(q, Select):
+            raise ValueError("query() is for select; use run() or rendered()")
+        program = Program((q,))
+        rows = documents.rows_of(self._events(program, self._plan(program)), q, 0)
+        if q.star:
+            pairs = F.expr("transform(sequence(0, cast(size(cells) / 2 as int) - 1), i -> struct(cells[2 * i], cells[2 * i + 1]))")
+            return rows.select(F.col("path").alias("filename"), F.when(F.size("cells") > 0, F.map_from_entries(pairs)).alias("fields"))
+        return rows.select(F.col("path").alias("filename"), *(F.get("cells", F.lit(2 * i + 1)).alias(column_name(e, i)) for i, e in enumerate(q.columns)))
 
     def rendered(self, text: str) -> DataFrame:
-        """(path, content) of the files that a program changes, without writing any."""
-        program = parse_program(text)
-        options = replace(self.options, dry_run=False)
-        found = documents.events(self.spark, program, documents.plan(program, options), options, self.content)
+        """(path, content) of the documents that a program changes, without writing any."""
+        program, options = parse_program(text), self.options
+        self.options = replace(options, dry_run=False)
+        try:
+            found = self._events(program, self._plan(program))
+        finally:
+            self.options = options
         return found.filter(F.col("statement") == CHANGED).select("path", F.get("cells", F.lit(0)).alias("content"))
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .engine import Tables
+from .engine import Documents, Tables
 
 #: name -> (program in the dialect, SQL)
 CATALOG: dict[str, tuple[str, str]] = {
@@ -137,7 +137,8 @@ CATALOG: dict[str, tuple[str, str]] = {
         "select event_id, to_string(ts), ts:datetime = to_string(ts) from events where event_id < 1000",
         "SELECT event_id, CASE WHEN ts = date_trunc('day', ts) THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS expr2, ts <> date_trunc('day', ts) AS expr3 FROM events WHERE event_id < 1000",
     ),
-    # -- links and casts
+    "dat01_today": ("select r_name, date_diff(today(), today()), today() = today() from region", "SELECT r_name, CAST(0 AS BIGINT) AS expr2, true AS expr3 FROM region"),
+    # -- casts
     "cast_between_kinds": (
         "select p_partkey, p_size:string, concat(p_size, '.5'), p_retailprice:int from part",
         "SELECT p_partkey, CAST(p_size AS VARCHAR) AS p_size, p_size || '.5' AS expr3, CASE WHEN p_retailprice = floor(p_retailprice) THEN CAST(p_retailprice AS BIGINT) END AS p_retailprice FROM part",
@@ -172,5 +173,37 @@ def runner(program: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+CONTENT = (
+    "concat('docs/', lang, '/', doc_id, '.md') AS path",
+    "concat('---\ntitle: \"', source, '-', doc_id, '\"\nn: ', doc_id, '\ntags: [', lang, ', x]\n', if(doc_id % 3 = 0, 'draft: true\n', ''), '---\n', text) AS content",
+)
+
+#: name -> (program over documents with headers, SQL). "rendered" gives the changed documents.
+DOCUMENTS: dict[str, tuple[str, str]] = {
+    "doc_select": (
+        "select title, n * 2, tags from docs/*/*.md where draft and n > 10 sort by n desc limit 50",
+        "SELECT 'docs/' || lang || '/' || doc_id || '.md' AS filename, source || '-' || doc_id AS title, CAST(doc_id * 2 AS VARCHAR) AS expr2, '[' || lang || ', x]' AS tags FROM documents WHERE doc_id % 3 = 0 AND doc_id > 10 ORDER BY doc_id DESC LIMIT 50",
+    ),
+    "doc_membership": (
+        "select from docs/*/*.md where tags >= 'de' and not draft",
+        "SELECT 'docs/' || lang || '/' || doc_id || '.md' AS filename FROM documents WHERE lang = 'de' AND doc_id % 3 <> 0",
+    ),
+    "doc_update_rendered": (
+        "update docs/en/*.md set tags += 'new', n = null where n < 100; alter docs/*/*.md drop title where n = null and missing = null",
+        """SELECT 'docs/' || lang || '/' || doc_id || '.md' AS path, '---' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'draft: true' || chr(10) ELSE '' END || 'n: null' || chr(10) || 'tags:' || chr(10)
+        || '  - ' || lang || chr(10) || '  - x' || chr(10) || '  - new' || chr(10) || '---' || chr(10) || text AS content FROM documents WHERE lang = 'en' AND doc_id < 100""",
+    ),
+}
+
+
+def document_runner(program: str, rendered: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        documents = Documents(spark, content=spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(*CONTENT))
+        return documents.rendered(program) if rendered else documents.query(program)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: runner(program) for name, (program, _) in CATALOG.items()}
-ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in CATALOG.items()}
+QUERIES |= {name: document_runner(program, name.endswith("rendered")) for name, (program, _) in DOCUMENTS.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in (CATALOG | DOCUMENTS).items()}

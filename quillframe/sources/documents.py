@@ -7,9 +7,10 @@ Sorting and limits are Spark's, over keys that the tasks emit, so no result is
 gathered before it has been cut. Files are written by a second pass over the
 emitted contents: a task that runs twice writes the same bytes twice.
 
-Files reach the tasks either as paths, which the tasks open themselves (a
-shared file system), or as a table of (path, content), which any Spark reader
-can give.
+Files reach the tasks either as paths, which the driver lists and the tasks
+open themselves (a shared file system), or as a table of (path, content), which
+any Spark reader can give. There the words after FROM are conditions on path, so
+nothing is listed on the driver, however many documents there are.
 """
 
 from __future__ import annotations
@@ -19,15 +20,15 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import CastError, cast, contains, evaluate, format_value, from_python, items_of, to_python, truthy
 from ..operators.rowwise import SORT_DDL, SORT_TYPE, sort_parts
 from ..plans.nodes import Assign, Drop, Program, Select, Statement, Update, column_name
 from .headers import HeaderError, decode, parse, render
-from .languages import Language
-from .listing import expand, is_pattern
+from .languages import EXTENSIONS, Language
+from .listing import expand, is_pattern, regex
 
 NO_HEADER = "no header; name the file explicitly or pass --lang to insert one"
 
@@ -142,8 +143,8 @@ def plan(program: Program, options: Options) -> Work:
 
 
 #: What tasks emit. statement -1: a changed file (cells: its new content); -2: an error (cells: the message).
-EVENT_TYPE = [("ord", pa.int64()), ("path", pa.string()), ("statement", pa.int32()), ("cells", pa.list_(pa.string())), ("keys", pa.list_(SORT_TYPE))]
-EVENT_DDL = f"ord bigint, path string, statement int, cells array<string>, keys array<{SORT_DDL}>"
+EVENT_TYPE = [("ord", pa.string()), ("path", pa.string()), ("statement", pa.int32()), ("cells", pa.list_(pa.string())), ("keys", pa.list_(SORT_TYPE))]
+EVENT_DDL = f"ord string, path string, statement int, cells array<string>, keys array<{SORT_DDL}>"
 CHANGED, FAILED = -1, -2
 
 
@@ -190,15 +191,24 @@ def run_statements(program: Program, statements: Iterable[int], row: dict, optio
     return [*out, (CHANGED, [], [])] if changed and not options.dry_run else out
 
 
-def events(spark: SparkSession, program: Program, work: Work, options: Options, content: DataFrame | None = None) -> DataFrame:
-    """All that a program makes of its files, as rows of EVENT_DDL. content: (path, content) instead of files to open."""
-    listed = [(i, p, work.statements[p], p in work.explicit) for i, p in enumerate(work.paths)]
-    files = spark.createDataFrame(listed, "ord bigint, path string, statements array<int>, explicit boolean")
+def rank(i: int) -> str:
+    """A place in order as text that sorts alike."""
+    return f"{i:012d}"
+
+
+def events(spark: SparkSession, program: Program, work: Work, options: Options) -> DataFrame:
+    """All that a program makes of its files, as rows of EVENT_DDL."""
+    listed = [(rank(i), p, work.statements[p], p in work.explicit) for i, p in enumerate(work.paths)]
+    files = spark.createDataFrame(listed, FILE_DDL)
     slots = spark.sparkContext.defaultParallelism * 2
     files = files.repartitionByRange(max(1, min(slots * 8, -(-len(listed) // 16))), "ord") if listed else files
-    if content is not None:
-        files = files.join(content.select("path", F.col("content").cast("binary").alias("raw")), "path", "left").select("ord", "path", "statements", "explicit", "raw")
+    return _events(program, files, options)
+
+
+FILE_DDL = "ord string, path string, statements array<int>, explicit boolean"
 
+
+def _events(program: Program, files: DataFrame, options: Options) -> DataFrame:
     def run(batches):
         for batch in batches:
             out: list[list] = [[] for _ in EVENT_TYPE]
@@ -211,6 +221,45 @@ def events(spark: SparkSession, program: Program, work: Work, options: Options,
     return files.mapInArrow(run, EVENT_DDL)
 
 
+def table_events(program: Program, content: DataFrame, options: Options) -> DataFrame:
+    """All that a program makes of the documents of a table (path, content); see events()."""
+    path = F.col("path")
+    words = list(dict.fromkeys(w for q in program.statements for w in q.sources))
+    named = [w for w in words if not is_pattern(w)]
+    tests = {w: _names(path, w, named, options) for w in words}
+    none = F.lit(None).cast("int")
+    seen = [F.when(_any(tests[w] for w in q.sources), F.lit(i)).otherwise(none) for i, q in enumerate(program.statements)]
+    first = F.coalesce(*(F.when(tests[w], F.lit(rank(i))) for i, w in enumerate(words)))
+    files = content.filter(_any(tests.values())).select(
+        F.concat(first, F.lit("\0"), path).alias("ord"),
+        path,
+        F.array_compact(F.array(*seen)).alias("statements"),
+        (path.isin(named) if named else F.lit(False)).alias("explicit"),
+        F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("raw"),
+    )
+    return _events(program, files, options)
+
+
+def _any(tests: Iterable[Column]) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
+def _names(path: Column, word: str, named: list[str], options: Options) -> Column:
+    """Whether a word after FROM names the document at path, by the rules of listing.expand()."""
+    if not is_pattern(word):
+        return path == word
+    found = path.rlike(regex(word))
+    name = F.substring_index(path, "/", -1)
+    if "." not in word.rsplit("/", 1)[-1] and options.language is None:
+        found = found & F.lower(F.concat(F.lit("."), F.substring_index(name, ".", -1))).isin(sorted(EXTENSIONS)) & name.contains(".")
+    if not options.include_hidden:
+        found = found & (~name.startswith(".") | (path.isin(named) if named else F.lit(False)))
+    return found
+
+
 def write(found: DataFrame, options: Options) -> DataFrame:
     """Write the changed files among what events() found; (ord, path, why), why is null where it went well."""
     root = options.root
@@ -227,7 +276,7 @@ def write(found: DataFrame, options: Options) -> DataFrame:
                     why.append(f"could not write: {e}")
             yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("path"), pa.array(why, pa.string())], names=["ord", "path", "why"])
 
-    return found.filter(F.col("statement") == CHANGED).select("ord", "path", "cells").mapInArrow(run, "ord bigint, path string, why string")
+    return found.filter(F.col("statement") == CHANGED).select("ord", "path", "cells").mapInArrow(run, "ord string, path string, why string")
 
 
 def rows_of(found: DataFrame, q: Statement, i: int) -> DataFrame:

@@ -20,6 +20,23 @@ def is_pattern(word: str) -> bool:
     return MAGIC.search(word) is not None
 
 
+def regex(pattern: str) -> str:
+    """A pattern as a regular expression for whole paths, for Java and Python alike: only "/" is out of its reach."""
+    out = []
+    for m in re.finditer(r"\*+|\?|\[([!^]?)(\]?[^\]]*)\]|.", pattern, re.S):
+        if m[0][0] == "*":
+            out.append("[^/]*")
+        elif m[0] == "?":
+            out.append("[^/]")
+        elif m[2] is not None:
+            body = re.sub(r"([\\\[\]&^])", r"\\\1", m[2])
+            body = "\\" + body if body.startswith("-") else body
+            out.append(f"[{'^/' if m[1] else ''}{body}]")
+        else:
+            out.append(m[0] if m[0].isalnum() or ord(m[0]) > 127 else "\\" + m[0])
+    return r"\A" + "".join(out) + r"\z"
+
+
 def expand(words: Iterable[str], include_hidden: bool = False, any_extension: bool = False, root: str = "") -> list[str]:
     """Paths in order: those of each pattern sorted, plain paths as they are given.
 

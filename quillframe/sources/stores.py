@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.nodes import Program
-from .documents import CHANGED, EVENT_DDL, EVENT_TYPE, FAILED, Options, Work, run_statements
+from .documents import CHANGED, EVENT_DDL, EVENT_TYPE, FAILED, Options, Work, rank, run_statements
 from .listing import is_pattern
 
 
@@ -45,8 +45,8 @@ def plan(program: Program, store: Store, options: Options) -> Work:
 
 def events(spark: SparkSession, program: Program, store: Store, work: Work, options: Options) -> DataFrame:
     """All that a program makes of a store's records; see documents.events. What changed comes as pickled fields."""
-    listed = [(i, k, work.statements[k]) for i, k in enumerate(work.paths)]
-    keys = spark.createDataFrame(listed, "ord bigint, path string, statements array<int>").repartitionByRange(max(1, min(spark.sparkContext.defaultParallelism * 16, -(-len(listed) // 16))), "ord")
+    listed = [(rank(i), k, work.statements[k]) for i, k in enumerate(work.paths)]
+    keys = spark.createDataFrame(listed, "ord string, path string, statements array<int>").repartitionByRange(max(1, min(spark.sparkContext.defaultParallelism * 16, -(-len(listed) // 16))), "ord")
 
     def run(batches):
         for batch in batches:
@@ -82,4 +82,4 @@ def write(found: DataFrame, store: Store) -> DataFrame:
             labels = [store.label(k) for k in batch.column("path").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("ord"), pa.array(labels, pa.string()), pa.array(why, pa.string())], names=["ord", "path", "why"])
 
-    return found.filter(F.col("statement") == CHANGED).select("ord", "path", "cells").mapInArrow(run, "ord bigint, path string, why string")
+    return found.filter(F.col("statement") == CHANGED).select("ord", "path", "cells").mapInArrow(run, "ord string, path string, why string")

@@ -10,7 +10,7 @@ from quillframe.engine import Documents, Records
 from quillframe.sources import languages
 from quillframe.sources.documents import Options
 from quillframe.sources.headers import HeaderError, dump_fields, load_fields, parse, render
-from quillframe.sources.listing import SourceError, expand
+from quillframe.sources.listing import SourceError, expand, regex
 
 CASES = {
     "note.md": ("---\nb: x\na: 1\n---\nBody\n", "---\na: 1\nb: x\nnew: 2\n---\nBody\n"),
@@ -122,14 +122,31 @@ def test_dry_run_and_rendered(spark, folder):
     assert [(r.path, "rating: 4" in r.content) for r in rows] == [("a.md", True)] and (folder / "a.md").read_text() == before
 
 
-def test_contents_from_a_table(spark, folder):
-    content = spark.createDataFrame([("a.md", b"---\ntitle: From table\n---\n")], "path string, content binary")
-    assert Documents(spark, content=content).run("select title from a.md").results[0].rows == [["a.md", "From table"]]
+def test_documents_of_a_table(spark):
+    files = {"a/x.md": "---\nn: 2\n---\n", "a/y.py": "# ---\n# n: 1\n# ---\n", "a/.z.md": "---\nn: 9\n---\n", "b/x.md": "---\nn: 5\n---\nB\n", "a/t.txt": "---\nn: 7\n---\n", "a/s.sh": "echo\n"}
+    content = spark.createDataFrame([(k, v.encode()) for k, v in files.items()] + [("a/null.md", None)], "path string, content binary")
+    documents = Documents(spark, content=content)
+    assert [tuple(r) for r in documents.query("select n, n + 1 from a/* where n sort by n").collect()] == [("a/y.py", "1", "2"), ("a/x.md", "2", "3")]
+    assert [r.filename for r in documents.query("select from b/x.md a/*.md a/.z.md").collect()] == ["b/x.md", "a/.z.md", "a/null.md", "a/x.md"]
+    assert [r.fields for r in documents.query("select * from */x.md").collect()] == [{"n": "2"}, {"n": "5"}]
+    out = documents.run("update a/* b/[!y].m? set m = n; select m from b/*")
+    assert out.results[1].rows == [["b/x.md", "5"]] and [p for p, _ in out.errors] == ["a/s.sh"] and sorted(out.changed) == ["a/null.md", "a/x.md", "a/y.py", "b/x.md"]
+    assert {r.path: r.content for r in documents.rendered("update */x.md set m = 1 where n > 2").collect()} == {"b/x.md": "---\nm: 1\nn: 5\n---\nB\n"}
+
+
+def test_patterns_of_paths():
+    import fnmatch
+    import re
+
+    for pattern in ("*.md", "a?c*", "[ab]*.x", "[!a]*", "x[^-&]y", "a.b+c", "[]a]b", "**"):
+        for path in ("x.md", "abc", "abcd", "b.x", "c.x", "x&y", "x-y", "x.y", "a.b+c", "aXb+c", "]b", "ab"):
+            assert bool(re.match(regex(pattern).replace(r"\z", r"\Z"), path)) == fnmatch.fnmatchcase(path, pattern.replace("[^", "[!")), (pattern, path)
+    assert not re.match(regex("*").replace(r"\z", r"\Z"), "a/b")
 
 
 def test_query_gives_a_frame(spark, folder):
     rows = Documents(spark).query("select title, rating from *.md where title").collect()
-    assert [(r.filename, r.cells["title"]) for r in rows] == [("a.md", "Alpha"), ("b.md", "Beta")]
+    assert [tuple(r) for r in rows] == [("a.md", "Alpha", "3"), ("b.md", "Beta", "10")]
 
 
 def test_command_line(spark, folder, capsys):

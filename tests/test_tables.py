@@ -30,7 +30,7 @@ def plain(v):
     return str([plain(x) for x in v]) if isinstance(v, (list, tuple)) else str(v)
 
 
-@pytest.mark.parametrize("name", queries.CATALOG)
+@pytest.mark.parametrize("name", queries.QUERIES)
 def test_against_sql(spark, data, duck, name):
     df = queries.QUERIES[name](spark, data)
     result = duck.execute(queries.ORACLE_SQL[name])
