@@ -22,6 +22,10 @@ from .sources import documents, stores
 from .sources.documents import CHANGED, FAILED, Options, Work
 
 
+#: Numbers become text in Python, which can't run inside functions over lists.
+LAMBDA_WITH_PYTHON = "UNSUPPORTED_FEATURE.LAMBDA_FUNCTION_WITH_PYTHON_UDF"
+
+
 # -- tables with a schema
 
 class Tables:
@@ -71,8 +75,7 @@ class Tables:
         except NotStatic:
             pass
         except AnalysisException as e:
-            # Numbers become text in Python, which can't run inside functions over lists.
-            if e.getCondition() != "UNSUPPORTED_FEATURE.LAMBDA_FUNCTION_WITH_PYTHON_UDF":
+            if e.getCondition() != LAMBDA_WITH_PYTHON:
                 raise
         return rowwise.select(df, q)
 
@@ -85,11 +88,19 @@ class Tables:
             return [self.select(q)]
         out = []
         for name in dict.fromkeys(q.sources):
-            self.frames[name] = statements.mutate(self.read(name), q)
+            self.frames[name] = self._mutate(self.read(name), q)
             self.files.discard(name)
             out.append(self.frames[name])
         return out
 
+    def _mutate(self, df: DataFrame, q: Statement) -> DataFrame:
+        try:
+            return statements.mutate(df, q)
+        except (NotStatic, AnalysisException) as e:
+            if isinstance(e, AnalysisException) and e.getCondition() != LAMBDA_WITH_PYTHON:
+                raise
+        return rowwise.mutate(df, q)
+
     def save(self, name: str, path: str, mode: str = "errorifexists") -> None:
         """Write a table as it is now. A failed row keeps its old values, without the column of reasons."""
         df = self.read(name)

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import CastError, cast, contains, evaluate, format_value, from_python, items_of, to_python, truthy
-from ..operators.rowwise import SORT_DDL, SORT_TYPE, sort_parts
-from ..plans.nodes import Assign, Drop, Program, Select, Statement, Update, column_name
+from ..functions.values import evaluate, format_value, from_python, truthy
+from ..operators.rowwise import SORT_DDL, SORT_TYPE, RowError, apply, sort_parts
+from ..plans.nodes import Program, Select, Statement, column_name
 from .headers import HeaderError, decode, parse, render
 from .languages import EXTENSIONS, Language
 from .listing import expand, is_pattern, regex
@@ -33,64 +33,6 @@ from .listing import expand, is_pattern, regex
 NO_HEADER = "no header; name the file explicitly or pass --lang to insert one"
 
 
-class RowError(ValueError):
-    """A statement can't be applied to a row."""
-
-
-# -- statements on one row; a row is a dict and is changed in place
-
-def apply(q: Statement, row: dict, strict: bool = False) -> bool:
-    """Run a mutation on row; whether row matched."""
-    if q.where is not None and not truthy(evaluate(q.where, row)):
-        return False
-    if isinstance(q, Update):
-        for a in q.assigns:
-            assign(a, row)
-    elif isinstance(q, Drop):
-        for f in q.fields:
-            row.pop(f.name, None)
-    else:
-        for old, new in q.pairs:
-            if old in row and (old != new or strict):
-                value = row.pop(old)
-                if old != new:
-                    row[new] = value
-    return True
-
-
-def assign(a: Assign, row: dict) -> None:
-    name, kind = a.target.name, a.target.kind
-    if a.value is None:
-        if name not in row:
-            row[name] = None
-        elif kind != "any":
-            row[name] = to_python(_cast(from_python(row[name]), kind, f'cannot cast field "{name}"'))
-        return
-    value = evaluate(a.value, row)
-    if kind != "any":
-        value = _cast(value, kind, f'cannot cast value to {kind} for field "{name}"')
-    if a.op == "=":
-        row[name] = to_python(value)
-        return
-    given = [None] if value is None else items_of(value)
-    held = row.get(name)
-    if a.op == "+=":
-        items = list(held) if isinstance(held, list) else [] if held is None else [held]
-        for v in given:
-            if not contains([from_python(x) for x in items], v):
-                items.append(to_python(v))
-        row[name] = items
-    elif isinstance(held, list):
-        row[name] = [x for x in held if not contains(given, from_python(x))]
-
-
-def _cast(value, kind: str, what: str):
-    try:
-        return cast(value, kind)
-    except CastError as e:
-        raise RowError(f"{what}: {e}") from None
-
-
 def shown(q: Statement, row: dict) -> tuple[list[str | None], list[dict]]:
     """Names and texts, in turn, of what q shows of row, and its sort keys."""
     if isinstance(q, Select) and q.star:

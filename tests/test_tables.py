@@ -149,3 +149,11 @@ def test_streams(spark, data, tmp_path):
     assert spark.table("clicks").count() == Tables(spark, data).query(text).count()
     with pytest.raises(ValueError):
         over_stream(stream, "select event_id from events limit 3")
+
+
+def test_mutations_without_static_kinds(spark, frame):
+    t = Tables(spark, frames={"t": frame})
+    out = t.run("update t set mix = [id, s], k:int = n where s or n")[0].orderBy("id").collect()
+    assert [(r.id, r.l, r.mix, r.k, bool(r._error)) for r in out] == [(1, ["x"], None, None, True), (2, None, "[2, ]", "7", False), (3, [], None, None, True)]
+    t.run("update t set l += [1, 'x', id]")
+    assert t.query("select l from t where id = 2").collect()[0].l == "[1, x, 2]"
