@@ -34,7 +34,7 @@ from .boosting import BoostedTrees
 from .common import table
 
 #: Pages that the trees learn from, at most about.
-MAX_TRAIN_PAGES = 600
+MAX_TRAIN_PAGES = 400
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -293,6 +293,10 @@ def extract_all(pages: list[str | None], model: BoostedTrees) -> list[str]:
     return out
 
 
+def spark_slots(df: DataFrame) -> int:
+    return max(2, min(64, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def fit(pages: DataFrame, max_pages: int = MAX_TRAIN_PAGES) -> BoostedTrees:
     """Trees from a bounded sample of pages (page_id, html), dealt by a hash of page_id."""
     n = pages.count()
@@ -312,10 +316,12 @@ def fit(pages: DataFrame, max_pages: int = MAX_TRAIN_PAGES) -> BoostedTrees:
                 rows = np.concatenate(rows)
                 yield pa.RecordBatch.from_pydict({"row": pa.array(rows.tolist(), pa.list_(pa.float64()))})
 
+    # The sample is small however large the table is, and each page is read in a dozen forms.
+    sample = sample.repartition(spark_slots(pages))
     table_ = sample.mapInArrow(run, "row array<double>").toArrow()
     rows = np.asarray(table_.column("row").to_pylist(), float).reshape(-1, FEATURES + 1)
     rows = rows[np.lexsort(rows.T)]
-    return BoostedTrees(trees=60, depth=4, rate=0.25).fit(rows[:, :-1], rows[:, -1])
+    return BoostedTrees(trees=50, depth=4, rate=0.25).fit(rows[:, :-1], rows[:, -1])
 
 
 def main_text(pages: DataFrame, model: BoostedTrees) -> DataFrame:

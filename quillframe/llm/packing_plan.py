@@ -27,8 +27,13 @@ def knapsack(sizes: np.ndarray, price: np.ndarray, capacity: int) -> dict[int, i
     best = np.zeros(capacity + 1)
     pick = np.full(capacity + 1, -1, np.int64)
     fit = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(int(sizes[0]), capacity + 1):
-        value = best[c - sizes[: fit[c]]] + price[: fit[c]]
+    turned = best[::-1]  # best[c - s] for rising s, read backwards
+    dense = len(sizes) == sizes[-1] - sizes[0] + 1
+    low = int(sizes[0])
+    for c in range(low, capacity + 1):
+        n = int(fit[c])
+        # Without gaps between lengths, the values to compare lie side by side.
+        value = (turned[capacity - c + low : capacity - c + low + n] if dense else best[c - sizes[:n]]) + price[:n]
         i = int(value.argmax())
         if value[i] > best[c - 1]:
             best[c], pick[c] = value[i], i
@@ -52,7 +57,7 @@ def fractional(counts: dict[int, int], capacity: int, step: float = 0.3, eta: fl
     need = np.array([counts[s] for s in sizes.tolist()], float)
     done = np.zeros(len(sizes))
     x: dict[Configuration, float] = {}
-    for _ in range(int(2.5 * len(sizes)) + 16):
+    for _ in range(int(2.0 * len(sizes)) + 16):
         if (done >= need).all():
             break
         used = knapsack(sizes, np.exp(-eta * done / need) * sizes / capacity, capacity)
