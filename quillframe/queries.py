@@ -5,6 +5,7 @@ A query is a SELECT, or a script whose last statement's table is the result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -165,6 +166,16 @@ CATALOG: dict[str, tuple[str, str]] = {
     "rowwise_mixed_list": ("select p_partkey, [p_name, p_size] from part where [p_name, p_size] >= 7", "SELECT p_partkey, '[' || p_name || ', ' || p_size || ']' AS expr2 FROM part WHERE p_size = 7"),
 }
 
+#: The same features over whole tables, where an entry above has a condition on an id.
+WHOLE: dict[str, tuple[str, str]] = {
+    f"{name}_all": tuple(re.sub(r" where (l_orderkey|event_id) < \d+", "", text, flags=re.IGNORECASE) for text in CATALOG[name])
+    for name in (
+        "prj01_expression_names", "fld02_temporal_kinds", "cmp04_less_or_equal", "ari01_add", "ari02_subtract", "ari03_multiply",
+        "srt02_nulls_first_downwards", "srt02_nulls_last_upwards", "dat_to_string",
+    )
+}
+CATALOG |= WHOLE
+
 
 def runner(program: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,6 +204,11 @@ DOCUMENTS: dict[str, tuple[str, str]] = {
         """SELECT 'docs/' || lang || '/' || doc_id || '.md' AS path, '---' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'draft: true' || chr(10) ELSE '' END || 'n: null' || chr(10) || 'tags:' || chr(10)
         || '  - ' || lang || chr(10) || '  - x' || chr(10) || '  - new' || chr(10) || '---' || chr(10) || text AS content FROM documents WHERE lang = 'en' AND doc_id < 100""",
     ),
+    "doc_update_all_rendered": (
+        "update docs/en/*.md set tags += 'new', n = null; alter docs/*/*.md drop title where n = null and missing = null",
+        """SELECT 'docs/' || lang || '/' || doc_id || '.md' AS path, '---' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'draft: true' || chr(10) ELSE '' END || 'n: null' || chr(10) || 'tags:' || chr(10)
+        || '  - ' || lang || chr(10) || '  - x' || chr(10) || '  - new' || chr(10) || '---' || chr(10) || text AS content FROM documents WHERE lang = 'en'""",
+    ),
 }
 
 
