@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from .common import WHITE, materialise, table
 
-#: Bits that a word's place takes beside its window's hash: as few as a text's length needs, so that the hash keeps most.
-PLACE_BITS = (14, 20, 30)
 STOP_WORDS = (
     "the of and to in is that it for on with as was be by this are from at or an not a"
     " der die und das den von zu mit ist im für auf dem nicht ein eine"
@@ -65,22 +63,16 @@ def measures(documents: DataFrame) -> DataFrame:
 def _repeat_words() -> Column:
     """Words inside three-word windows that come twice or more.
 
-    Windows are sorted as one long each, hash above place, so that equal ones
+    Windows are sorted by their whole 64-bit hash and place, so that equal ones
     are neighbours; most texts repeat none and skip the sort.
     """
     n = F.size("windows")
-
-    def by_place(bits: int) -> Column:
-        mask = (1 << bits) - 1
-        ordered = F.sort_array(F.transform("windows", lambda h, i: F.shiftleft(h, bits).bitwiseOR(i.cast("long"))))
-        return F.zip_with(
-            F.slice(ordered, 1, n - 1),
-            F.slice(ordered, 2, n - 1),
-            lambda a, b: F.when(F.shiftright(a, bits) == F.shiftright(b, bits), F.array(a.bitwiseAND(mask), b.bitwiseAND(mask))).otherwise(F.array().cast("array<bigint>")),
-        )
-
-    few, many, all_ = PLACE_BITS
-    same = F.when(n < 1 << few, by_place(few)).when(n < 1 << many, by_place(many)).otherwise(by_place(all_))
+    ordered = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    same = F.zip_with(
+        F.slice(ordered, 1, n - 1),
+        F.slice(ordered, 2, n - 1),
+        lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")),
+    )
     starts = F.array_distinct(F.flatten(same))
     covered = F.array_distinct(F.flatten(F.transform(starts, lambda p: F.array(p, p + 1, p + 2))))
     return F.when(n < 2, 0).when(F.size(F.array_distinct("windows")) == n, 0).otherwise(F.size(covered)).cast("long")
