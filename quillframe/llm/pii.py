@@ -30,8 +30,8 @@ BASE = KINDS[:4]
 ROUNDS = 3
 LEAST_SCORE = 0.7
 LEAST_SEEDS = 3
-#: A bound on the induced model; the best-supported patterns stay.
-MAX_PATTERNS = 10_000
+#: A model up to this many bytes goes to every task; a greater one stays a table, joined with the candidates by pattern.
+MODEL_BYTES = 2_000_000
 
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -47,6 +47,7 @@ CUE = re.compile(r"(?:([^\s\"'=:#]{1,30})\s)?([^\s\"'=:#]{2,40})\s?([=:#])\s?[\"
 BEFORE = 90
 
 Span = tuple[int, int, int]  # start, kind, end
+Patterns = dict[str, int] | DataFrame
 
 
 def luhn(digits: str) -> bool:
@@ -123,8 +124,8 @@ def contexts(text: str, start: int) -> list[str]:
     return [cue, f"{m[1].lower()} {cue}"] if m[1] else [cue]
 
 
-def induce(documents: DataFrame) -> dict[str, int]:
-    """Patterns worth using, with the kind that they introduce."""
+def induce(documents: DataFrame) -> Patterns:
+    """Patterns worth using, with the kind that they introduce: a table (pattern, kind) beyond MODEL_BYTES."""
 
     def edges(batches):
         for batch in batches:
@@ -154,8 +155,12 @@ def induce(documents: DataFrame) -> dict[str, int]:
                 ),
                 "pii-scores",
             )
-    kept = patterns.filter((F.col("score") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS)).orderBy(F.desc("seeds"), "pattern").limit(MAX_PATTERNS)
-    return {r.pattern: max(range(len(KINDS)), key=lambda k: (r[f"k{k}"], -k)) for r in kept.collect()}
+    # The kind of most seeds, the first of them where several are equal.
+    kind = -F.array_max(F.array(*[F.struct(F.col(f"k{k}").alias("n"), F.lit(-k).alias("k")) for k in range(len(KINDS))]))["k"]
+    kept = patterns.filter((F.col("score") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern", kind.alias("kind"))
+    kept = materialise(kept, "pii-patterns")
+    size = kept.agg(F.coalesce(F.sum(F.octet_length("pattern") + 100), F.lit(0))).first()[0]
+    return kept if size > MODEL_BYTES else {r.pattern: r.kind for r in kept.collect()}
 
 
 def _support() -> list:
@@ -177,18 +182,51 @@ def all_spans(text: str, patterns: dict[str, int]) -> tuple[list[Span], list[Spa
     return base, sorted([*base, *more])
 
 
+def _located(documents: DataFrame, patterns: DataFrame) -> DataFrame:
+    """documents with __more: the spans (start, kind, end) that a table of patterns finds in each row."""
+
+    def found(batches):
+        for batch in batches:
+            rows = []
+            for row, text in zip(batch.column("__row").to_pylist(), batch.column("text").to_pylist()):
+                text = text or ""
+                rows += [(row, start, end, i, k) for start, end, kind, keys in candidates(text, base_spans(text)) if kind in (-1, 4) for i, k in enumerate(keys)]
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=["__row", "start", "end", "place", "pattern"])
+
+    # The numbers are part of the written table, so they stay the same however often it is read.
+    numbered = materialise(documents.withColumn("__row", F.monotonically_increasing_id()), "pii-rows")
+    keys = numbered.select("__row", "text").mapInArrow(found, "__row long, start long, end long, place long, pattern string")
+    hits = keys.join(patterns, "pattern").groupBy("__row", "start", "end").agg(F.min(F.struct("place", "kind"))["kind"].cast("long").alias("kind"))
+    more = hits.groupBy("__row").agg(F.collect_list(F.array("start", "kind", "end")).alias("__more"))
+    return numbered.join(more, "__row", "left").drop("__row")
+
+
+def _batch_spans(batch: pa.RecordBatch, patterns: Patterns | None) -> Iterator[tuple[list[Span], list[Span]]]:
+    """all_spans() of each text of a batch; without patterns, the column __more has what they find."""
+    texts = batch.column("text").to_pylist()
+    if patterns is not None:
+        yield from (all_spans(t or "", patterns) for t in texts)
+        return
+    for t, more in zip(texts, batch.column("__more").to_pylist()):
+        base = base_spans(t or "")
+        yield base, sorted([*base, *map(tuple, more or [])])
+
+
 def describe(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def report(documents: DataFrame, patterns: dict[str, int]) -> DataFrame:
+def report(documents: DataFrame, patterns: Patterns) -> DataFrame:
     """Counts, digest and spans for each document."""
+    read = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if isinstance(patterns, DataFrame):
+        read, patterns = _located(read, patterns), None
 
     def run(batches):
         for batch in batches:
             base, every = [], []
-            for text in batch.column("text").to_pylist():
-                b, e = all_spans(text or "", patterns)
+            for b, e in _batch_spans(batch, patterns):
                 base.append(b)
                 every.append(e)
             cols = {"doc_id": batch.column("doc_id")}
@@ -199,7 +237,7 @@ def report(documents: DataFrame, patterns: dict[str, int]) -> DataFrame:
             yield pa.RecordBatch.from_pydict(cols)
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return read.mapInArrow(run, schema)
 
 
 def mask(text: str, spans: list[Span]) -> str:
@@ -217,13 +255,15 @@ def mask(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(documents: DataFrame, patterns: dict[str, int]) -> DataFrame:
+def redact(documents: DataFrame, patterns: Patterns) -> DataFrame:
     """documents with every span of text masked."""
-    names = documents.columns
+    names, schema = documents.columns, documents.schema
+    if isinstance(patterns, DataFrame):
+        documents, patterns = _located(documents, patterns), None
 
     def run(batches):
         for batch in batches:
-            texts = [None if t is None else mask(t, all_spans(t, patterns)[1]) for t in batch.column("text").to_pylist()]
+            texts = [None if t is None else mask(t, e) for t, (_, e) in zip(batch.column("text").to_pylist(), _batch_spans(batch, patterns))]
             cols = dict(zip(names, batch.columns))
             cols["text"] = pa.array(texts, pa.string())
             if "n_chars" in cols:
@@ -231,7 +271,7 @@ def redact(documents: DataFrame, patterns: dict[str, int]) -> DataFrame:
                 cols["n_chars"] = pa.array([o if t is None else len(t) for o, t in zip(old.to_pylist(), texts)], old.type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(run, schema)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
