@@ -24,8 +24,12 @@ whole strings instead, which needs no group in one place.
 Documents are known by two hashes of their text, so exact copies are one
 content with a count.
 
+Passages of over 50 words that also stand in another document (passages.py) are
+often shorter than LENGTH bytes. They are not removed, but shared_passage marks
+the documents that hold one.
+
 Defined results: a null text is an empty one (nothing removed, the hash of no
-bytes); repeated rows are copies like any other, so texts of LENGTH bytes or
+bytes, no passage); repeated rows are copies like any other, so texts of LENGTH bytes or
 more that repeat go whole; an empty table gives no rows; only doc_id and text
 are read, so other columns can't clash.
 """
@@ -40,6 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import forget, materialise, table
+from .passages import LEAST_BYTES, SPAN, shared_passages
 
 LENGTH = 400
 GRAM = 160
@@ -192,13 +197,17 @@ KEYS = ["k1", "k2"]
 
 def keyed(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(29), text).alias("k2"), text.cast("binary").alias("data"))
+    return documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(29), text).alias("k2"), text.cast("binary").alias("data"),
+        F.xxhash64(F.lit(31), "doc_id").alias("row"),
+    )
 
 
 def removed_spans(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(k1, k2, spots) for contents that lose bytes, and the written tables that it still reads.
+    """(k1, k2, spots, copies, passage) for contents that lose bytes or share a passage, and the written tables that it still reads.
 
-    spots are (a, b), bytes a to b exclusive, in any order, perhaps overlapping.
+    spots are (a, b), bytes a to b exclusive, in any order, perhaps overlapping;
+    copies: the content comes twice or more; passage: another content shares one.
     """
 
     def find(batches):
@@ -220,7 +229,9 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
                 )
 
     long_enough = docs.filter(F.octet_length("data") >= LENGTH)
-    whole = long_enough.groupBy(*KEYS).agg(F.count("*").alias("n"), F.max(F.octet_length("data")).cast("long").alias("b")).filter("n > 1")
+    worded = docs.filter(F.octet_length("data") >= min(LENGTH, LEAST_BYTES))
+    whole = worded.groupBy(*KEYS).agg(F.count("*").alias("n"), F.max(F.octet_length("data")).cast("long").alias("b")).filter("n > 1")
+    whole = materialise(whole, "repeats-copies")
     every = long_enough.select("k1", "k2", "data").mapInArrow(find, "k1 long, k2 long, place long, anchor long, segment long, near long, far long, left short, right short")
     every = materialise(every, "repeats-anchors")
     twice = materialise(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "repeats-twice")
@@ -305,8 +316,17 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     repeated = strings.groupBy("side", "key", "l", "h", "g").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     begun = strings.filter("asks").join(repeated, ["side", "key", "l", "h", "g"]).select("k1", "k2", (F.col("place") - F.col("l")).alias("a"), (F.col("place") - F.col("l") + LENGTH).alias("b"))
 
-    spots = whole.select("k1", "k2", F.lit(0).cast("long").alias("a"), "b").unionByName(again).unionByName(edges).unionByName(begun)
-    return spots.groupBy(*KEYS).agg(F.collect_set(F.struct("a", "b")).alias("spots")), [shared, kinds, fetched]
+    spots = whole.filter(F.col("b") >= LENGTH).select("k1", "k2", F.lit(0).cast("long").alias("a"), "b").unionByName(again).unionByName(edges).unionByName(begun)
+    spots = materialise(spots.groupBy(*KEYS).agg(F.collect_set(F.struct("a", "b")).alias("spots")), "repeats-spots")
+    for t in (shared, kinds, fetched):
+        forget(t)
+    shared_, tables = shared_passages(docs, whole.select("k1", "k2"))
+    none = F.lit(None).cast("array<struct<a: bigint, b: bigint>>").alias("spots")
+    yes, no = F.lit(True), F.lit(False)
+    marks = spots.select("k1", "k2", "spots", no.alias("copies"), no.alias("passage"))
+    marks = marks.unionByName(whole.select("k1", "k2", none, yes.alias("copies"), no.alias("passage")))
+    marks = marks.unionByName(shared_.select("k1", "k2", none, no.alias("copies"), yes.alias("passage")))
+    return marks.groupBy(*KEYS).agg(F.max("spots").alias("spots"), F.max("copies").alias("copies"), F.max("passage").alias("passage")), [whole, spots, *tables]
 
 
 def union_of(spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -320,7 +340,7 @@ def union_of(spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans of each row of documents."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the removed spans and shared_passage (1 or 0) of each row of documents."""
     docs = keyed(documents)
     listed, inputs = removed_spans(docs)
     listed = materialise(listed, "repeats-spans")
@@ -330,19 +350,22 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for data, spots in zip(batch.column("data").to_pylist(), batch.column("spots").to_pylist()):
+            for data, spots, copies, passage in zip(*(batch.column(c).to_pylist() for c in ("data", "spots", "copies", "passage"))):
                 cut = union_of([(s["a"], s["b"]) for s in spots or ()])
                 digest, at = hashlib.sha256(), 0
                 for a, b in cut:
                     digest.update(data[at:a])
                     at = b
                 digest.update(data[at:])
-                rows.append((len(data), sum(b - a for a, b in cut), len(cut), digest.hexdigest(), ",".join(f"{a}:{b}" for a, b in cut)))
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
-
-    joined = docs.join(listed, KEYS, "left").select("doc_id", "data", "spots")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed string")
+                marked = passage or copies and len(data.split()) >= SPAN
+                rows.append((len(data), sum(b - a for a, b in cut), len(cut), digest.hexdigest(), ",".join(f"{a}:{b}" for a, b in cut), int(bool(marked))))
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "shared_passage"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=names)
+
+    joined = docs.join(listed, KEYS, "left").select("doc_id", "data", "spots", "copies", "passage")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed string, shared_passage int")
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
