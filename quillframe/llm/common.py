@@ -19,11 +19,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in a local session alone, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -35,21 +37,64 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/quillframe-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillframe_table = path
+    return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the table behind a DataFrame of materialise(), which nothing will read any more, and free finished shuffles.
+def written() -> set[str]:
+    """Paths of the tables of materialise() that are still there."""
+    return {path for _, path in _written}
+
+
+def forget(*tables: DataFrame | str) -> None:
+    """Delete the tables behind DataFrames of materialise() (or at paths), which nothing will read any more, and free finished shuffles.
 
     Spark's cleaner drops a shuffle's files once the driver's garbage
     collection finds its plan unused, which may otherwise be long after.
     """
-    files = set(df.inputFiles()[:1])
-    for entry in [e for e in _written if any(e[1].rsplit("/", 1)[-1] in f for f in files)]:
+    paths = {t if isinstance(t, str) else getattr(t, "_quillframe_table", None) for t in tables}
+    gone = [e for e in _written if e[1] in paths]
+    for entry in gone:
         _delete(*entry)
         _written.remove(entry)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    if gone:
+        gc.collect()
+        gone[0][0].sparkContext._jvm.System.gc()
+
+
+#: Keys that join_spread() sends to every task, at most.
+HOT_KEYS = 10_000
+HOT_ROWS = 1_000
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how) for a right side of unique keys whose column n counts the rows of left.
+
+    Keys with more than a HOT_KEYS-th of all rows, of which there are fewer than
+    HOT_KEYS, go to every task, so their rows stay where they are; n is dropped.
+    Both sides should be cheap to read twice.
+    """
+    total = right.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    if not right.filter(F.col(n) > least).limit(1).count():
+        return left.join(right.drop(n), keys, how)
+    hot, rest = right.filter(F.col(n) > least).drop(n), right.filter(F.col(n) <= least).drop(n)
+    spread = left.join(F.broadcast(hot), keys)
+    others = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return spread.unionByName(others)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names, each with underscores in front until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, table, unused
 
 #: A line goes if it is on more than RATIO of its host's pages, and on LEAST_PAGES at least.
 RATIO = 0.05
@@ -54,10 +54,11 @@ def drop_boilerplate(documents: DataFrame, host: str = "source", ratio: float =
     size = listed.agg(F.coalesce(F.sum(F.size("lines") * 16 + 100), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
         listed = F.broadcast(listed)
-    listed = listed.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
-    joined = documents.join(listed, documents[host].eqNullSafe(F.col("__host")), "left")
-    text = F.when(F.col("__lines").isNull(), documents["text"]).otherwise(
-        F.array_join(F.filter(F.split(documents["text"], "\n"), lambda x: ~(_filled(x) & F.array_contains(F.col("__lines"), _hash(x)))), "\n")
+    of, gone = unused(documents, "__host", "__lines")
+    listed = listed.select(F.col("host").alias(of), F.col("lines").alias(gone))
+    joined = documents.join(listed, documents[host].eqNullSafe(F.col(of)), "left")
+    text = F.when(F.col(gone).isNull(), documents["text"]).otherwise(
+        F.array_join(F.filter(F.split(documents["text"], "\n"), lambda x: ~(_filled(x) & F.array_contains(F.col(gone), _hash(x)))), "\n")
     )
     changed = {"text": text.alias("text")}
     if "n_chars" in names:

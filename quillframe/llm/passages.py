@@ -165,9 +165,10 @@ def shared_passages(docs: DataFrame, copied: DataFrame) -> tuple[DataFrame, list
     long_enough = docs.filter(F.octet_length("data") >= LEAST_BYTES)
     every = materialise(long_enough.select("k1", "k2", "data").mapInArrow(find, "k1 long, k2 long, place int, anchor long, segment long"), "passages-anchors")
     lo_hi = [F.min("k1").alias("lo"), F.max("k1").alias("hi")]
-    twice = every.groupBy("anchor").agg(*lo_hi).filter("lo != hi").select("anchor")
+    # Written first, the counts are read by a shuffle of their own, and adaptive execution can split a hot anchor.
+    twice = materialise(every.groupBy("anchor").agg(*lo_hi).filter("lo != hi").select("anchor"), "passages-twice")
     both = materialise(every.join(twice, "anchor", "left_semi"), "passages-shared")
-    forget(every)
+    forget(every, twice)
     segments = both.groupBy("anchor", "segment").agg(*lo_hi, F.min(F.struct("k1", "k2", "place")).alias("one"))
     segments = materialise(segments, "passages-segments")
     known = both.join(segments.filter("lo != hi").select("anchor", "segment"), ["anchor", "segment"], "left_semi").select("k1", "k2").distinct()
@@ -175,7 +176,7 @@ def shared_passages(docs: DataFrame, copied: DataFrame) -> tuple[DataFrame, list
 
     asking = both.select("k1", "k2").distinct().join(known, ["k1", "k2"], "left_anti").join(copied, ["k1", "k2"], "left_anti")
     asking = materialise(asking, "passages-asking")
-    asked = both.join(asking, ["k1", "k2"], "left_semi").select("anchor").distinct()
+    asked = materialise(both.join(asking, ["k1", "k2"], "left_semi").select("anchor").distinct(), "passages-asked")
     places = segments.join(asked, "anchor", "left_semi").groupBy(F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2")).agg(F.collect_list("one.place").alias("places"))
     # The rows of a text that comes often are dealt to several tasks, which hash the same windows.
     places = places.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -197,6 +198,5 @@ def shared_passages(docs: DataFrame, copied: DataFrame) -> tuple[DataFrame, list
     met = hashed.groupBy("h").agg(*lo_hi).filter("lo != hi").select("h")
     later = hashed.join(asking, ["k1", "k2"], "left_semi").join(met, "h", "left_semi").select("k1", "k2").distinct()
     later = materialise(later, "passages-later")
-    for t in (both, segments, asking, hashed):
-        forget(t)
+    forget(both, segments, asking, asked, hashed)
     return known.union(later), [known, later]

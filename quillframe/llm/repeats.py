@@ -236,8 +236,7 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     every = materialise(every, "repeats-anchors")
     twice = materialise(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "repeats-twice")
     shared = materialise(every.join(twice, "anchor", "left_semi"), "repeats-shared")
-    forget(every)
-    forget(twice)
+    forget(every, twice)
 
     # One row for each different segment; of a segment that comes twice or more, all is repeated.
     one = F.min(F.struct("k1", "k2", "place")).alias("one")
@@ -318,8 +317,7 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
     spots = whole.filter(F.col("b") >= LENGTH).select("k1", "k2", F.lit(0).cast("long").alias("a"), "b").unionByName(again).unionByName(edges).unionByName(begun)
     spots = materialise(spots.groupBy(*KEYS).agg(F.collect_set(F.struct("a", "b")).alias("spots")), "repeats-spots")
-    for t in (shared, kinds, fetched):
-        forget(t)
+    forget(shared, kinds, fetched)
     shared_, tables = shared_passages(docs, whole.select("k1", "k2"))
     none = F.lit(None).cast("array<struct<a: bigint, b: bigint>>").alias("spots")
     yes, no = F.lit(True), F.lit(False)
@@ -344,8 +342,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     docs = keyed(documents)
     listed, inputs = removed_spans(docs)
     listed = materialise(listed, "repeats-spans")
-    for table_ in inputs:
-        forget(table_)
+    forget(*inputs)
 
     def run(batches):
         for batch in batches:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, table
+from .common import forget, join_spread, materialise, table, unused
 
 SHINGLE = 3
 RADIUS = 2
@@ -84,8 +84,8 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b), a < b, among distinct fingerprints fp, whose components are those of all pairs within RADIUS."""
+def links(distinct: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (a, b), a < b, among distinct fingerprints fp, whose components are those of all pairs within RADIUS, and the tables that they are read from."""
     tables = masks()
     rows = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(_signed(m)).alias("key")) for t, m in enumerate(tables)])).alias("b")).select("fp", "b.*")
     sizes = rows.groupBy("t", "key").agg(F.count("*").alias("size"), F.min("fp").alias("least"), F.max("fp").alias("most")).filter("size > 1")
@@ -104,11 +104,11 @@ def links(distinct: DataFrame) -> DataFrame:
     points = points.distinct()
     centres = points.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
     stars = points.join(centres.select("point", "a"), "point").filter(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
-    return twos.union(pairs).union(stars).distinct()
+    return twos.union(pairs).union(stars).distinct(), [sizes, shared]
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b): root is the smallest node of its component.
+    """(node, root) for every node of edges (a, b), as a table: root is the smallest node of its component.
 
     Alternates large-star and small-star steps; each keeps components and
     shortens paths, so few rounds are needed however long a chain is.
@@ -125,27 +125,35 @@ def connected(edges: DataFrame) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(least, "b")
         small = joined.select(F.col("m").alias("a"), "b").union(joined.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a < b").distinct()
-        edges = materialise(small, "small-star")
+        old, edges = edges, materialise(small, "small-star")
+        forget(old, large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
+            roots = edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
+            roots = materialise(roots, "roots")
+            forget(edges)
+            return roots
         before = now
 
 
 def classes(hashed: DataFrame) -> DataFrame:
-    """(fp, component_id) for each distinct fp of hashed (doc_id, fp)."""
-    distinct = materialise(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = connected(links(distinct.select("fp")))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    """(fp, component_id, n) for each distinct fp of hashed (doc_id, fp), n being its rows; a table."""
+    distinct = materialise(hashed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
+    edges, tables = links(distinct.select("fp"))
+    roots = connected(edges)
+    forget(*tables)
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "simhash-named")
     component = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(component, "root").select("fp", "component_id")
+    found = materialise(named.join(component, "root").select("fp", "component_id", "n"), "simhash-classes")
+    forget(distinct, roots, named)
+    return found
 
 
 def components(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for each row of documents."""
     hashed = materialise(fingerprints(documents), "simhash-hashed")
-    return hashed.join(classes(hashed), "fp").select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
+    return join_spread(hashed, classes(hashed), ["fp"], "n").select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
 
 def _hex(column: str) -> Column:
@@ -155,20 +163,21 @@ def _hex(column: str) -> Column:
 def keep_one(documents: DataFrame) -> DataFrame:
     """documents with one row of each component: that of the smallest doc_id, and one of its repeats."""
     names = documents.columns
-    numbered = T.StructType([*documents.schema.fields, T.StructField("__row", T.LongType()), T.StructField("__fp", T.LongType())])
+    row, fp = unused(documents, "__row", "__fp")
+    numbered = T.StructType([*documents.schema.fields, T.StructField(row, T.LongType()), T.StructField(fp, T.LongType())])
 
     def run(batches):
         for batch in batches:
             fps = [_signed(fingerprint(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*names, "__row", "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*names, row, fp])
 
     # The numbers are part of the written table, so they stay the same however often it is read.
-    marked = materialise(documents.withColumn("__row", F.monotonically_increasing_id()).mapInArrow(run, numbered), "simhash-rows")
-    ids = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp"), "__row")
-    first = ids.join(classes(ids.select("doc_id", "fp")), "fp")
+    marked = materialise(documents.withColumn(row, F.monotonically_increasing_id()).mapInArrow(run, numbered), "simhash-rows")
+    ids = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("at"))
+    first = join_spread(ids, classes(ids.select("doc_id", "fp")), ["fp"], "n")
     # Components without any doc_id are told apart by fingerprint.
-    kept = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("m"))
-    return marked.join(kept.select(F.col("m.__row").alias("__row")), "__row", "left_semi").select(*names)
+    kept = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("m"))
+    return marked.join(kept.select(F.col("m.at").alias(row)), row, "left_semi").select(*names)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
