@@ -140,6 +140,14 @@ def pack(documents: DataFrame, encoder: Encoder | None = None, capacity: int = C
     histogram = {r[0]: r[1] for r in counted.groupBy("length").agg(F.sum("n")).collect()}
     places = Places(plan(histogram, capacity))
 
+    def by_length(part: pa.Table) -> pa.Table:
+        bases = np.zeros(capacity + 1, np.int64)
+        bases[part.column("length").to_numpy()] = part.column("base").to_numpy()
+        return pa.table({"part": part.column("part").slice(0, 1), "bases": pa.array([bases], pa.list_(pa.int64()))})
+
+    # A part is what one task has read, and has one row of as many bases as there can be lengths: this list grows with the parts, so it is never sent to all tasks.
+    bases = materialise(base.groupBy("part").applyInArrow(by_length, "part long, bases array<long>"), "packing-bases").hint("merge")
+
     def run(batches):
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
@@ -147,7 +155,7 @@ def pack(documents: DataFrame, encoder: Encoder | None = None, capacity: int = C
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:5]), pa.array(sequence), pa.array(offset)], names=names)
 
-    ranked = cut.join(base, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("number")).alias("rank"))
+    ranked = cut.join(bases, "part").select("doc_id", "piece", "start", "length", "ids_crc32", (F.get("bases", F.col("length").cast("int")) + F.col("number")).alias("rank"))
     placed = ranked.mapInArrow(run, "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return placed.withColumn("piece", F.col("piece").cast("int"))
 

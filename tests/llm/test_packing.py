@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from quillframe.llm import packing
-from quillframe.llm.packing_plan import best_fit, fractional, plan
+from quillframe.llm.packing_plan import SHARES, Knapsack, best_fit, fractional, plan, rounded
 
 
 def bound(counts, capacity):
@@ -44,6 +44,35 @@ def test_lp_covers_and_most_sequences_come_from_it():
     assert sum(m for _, m in best_fit({3: 10, 5: 1}, 8)) == 6
 
 
+def test_plans_need_no_more_than_best_fit_and_use_the_lp():
+    r = random.Random(9)
+    for n in (400, 2_000, 30_000):
+        counts = Counter(min(1023, int(r.expovariate(1 / 350)) + 1) for _ in range(n))
+        chosen, plain = plan(counts, 1024), best_fit(counts, 1024)
+        assert sum(m for _, m in chosen) <= sum(m for _, m in plain)
+        x = fractional(counts, 1024)
+        assert x and all(sum(s * k for s, k in c) <= 1024 for c in x)
+        for share in SHARES:
+            placed, rest = rounded(x, counts, 1024, share)
+            assert sum(m for _, m in placed) > 0 and all(sum(s * k for s, k in c) == 1024 for c, _ in placed)
+            held = Counter(rest)
+            for config, many in placed:
+                for s, k in config:
+                    held[s] += k * many
+            assert held == counts
+
+
+def test_knapsack_against_all_configurations():
+    sizes, price = np.array([3, 4, 7, 9]), np.array([2.0, 3.1, 5.0, 7.3])
+    best = max(a * 2.0 + b * 3.1 + c * 5.0 + d * 7.3 for a in range(8) for b in range(6) for c in range(4) for d in range(3) if 3 * a + 4 * b + 7 * c + 9 * d <= 23)
+    k = Knapsack(sizes, price, 23)
+    assert k.value.max() == pytest.approx(best)
+    for first in range(4):
+        used = k.using(first)
+        assert used[first] >= 1 and sum(int(sizes[i]) * n for i, n in used.items()) <= 23
+        assert sum(price[i] * n for i, n in used.items()) == pytest.approx(k.value[first])
+
+
 def test_pieces_of_documents():
     assert packing.pieces_of(1, 4) == [(0, 1)] and packing.pieces_of(4, 4) == [(0, 4)] and packing.pieces_of(9, 4) == [(0, 1), (1, 4), (5, 4)] and packing.pieces_of(8, 4) == [(0, 4), (4, 4)]
 
@@ -55,6 +84,12 @@ def test_fast_ids_are_those_of_the_tokenizers_file():
     assert [fast(t) for t in texts] == [slow(t) for t in texts]
 
 
+def test_ids_of_all_documents_are_those_of_the_tokenizers_file(spark, data):
+    fast, slow = packing.default_encoder(), packing.Encoder(packing.tokenizer_path("byte_bpe_50k.json"))
+    for row in spark.read.parquet(f"{data}/documents.parquet").select("text").toLocalIterator():
+        assert fast(row.text) == slow(row.text)
+
+
 def check(rows, texts, capacity):
     encoder = packing.default_encoder()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
