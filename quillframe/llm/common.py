@@ -8,7 +8,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as a Java regex class and as the characters themselves.
@@ -63,6 +63,15 @@ def forget(*tables: DataFrame | str) -> None:
         gone[0][0].sparkContext._jvm.System.gc()
 
 
+#: Hashes are compared with a share of this range, which stays exact for any number of rows.
+_RANGE = 1 << 62
+
+
+def sampled(hashed: Column, n: int, most: int) -> Column:
+    """Whether a row is among about `most` of n, by a 64-bit hash of it; all are where n is no more than that."""
+    return F.lit(True) if n <= most else F.pmod(hashed, F.lit(_RANGE)) < _RANGE * most // n
+
+
 #: Keys that join_spread() sends to every task, at most.
 HOT_KEYS = 10_000
 HOT_ROWS = 1_000

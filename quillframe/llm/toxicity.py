@@ -4,11 +4,14 @@ The features are lexicon densities, hits near second-person words, capitals,
 punctuation and obfuscation rates. The lexicon is a short seed list and what
 the labelled sample adds to it: words, and beginnings of words, that toxic
 texts hold far more often than others. Labels are read only to fit; a score
-depends on the text alone.
+depends on the text alone. Calibration is isotonic at every size: two models
+score the half of the rows that each has not seen, and the map is fitted on
+those margins.
 
 Defined results: a null or empty text is scored like any other (all features
 are 0); rows repeat as they come; a table without usable labels gives a
-constant score below one half; columns beside doc_id and text are ignored by
+constant score below one half; of the labels of one document, and of equal
+texts, the toxic one holds; columns beside doc_id and text are ignored by
 score() and kept by filter_toxic().
 """
 
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, Isotonic
-from .common import held_out, table
+from .common import forget, held_out, materialise, sampled, table
 
 #: Labelled rows that a model is fitted on, at most about (rows are taken by a hash of doc_id).
 MAX_TRAIN_ROWS = 20_000
@@ -145,53 +148,49 @@ def training_rows(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_T
     """(doc_id, text, toxic) of labelled rows that may be learned from; of many, about max_rows, dealt by a hash of doc_id."""
     usable = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = usable.count()
-    if n > max_rows:
-        usable = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * max_rows / n))
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(usable, "doc_id")
-    return rows.dropDuplicates(["text"]) if n else rows
+    usable = usable.filter(sampled(F.xxhash64("doc_id"), usable.count(), max_rows))
+    # At most about max_rows small rows go to all tasks, and texts stay where they are.
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(usable), "doc_id")
+    return rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "text", "toxic")
 
 
 def fit(rows: DataFrame, max_lexicon: int = MAX_LEXICON) -> ToxicityModel:
     """Learn the lexicon, the trees and the calibration from (doc_id, text, toxic)."""
-    rows = rows.persist()
-    try:
-        totals = dict(rows.groupBy("toxic").count().collect())
-        toxic, clean = totals.get(1, 0), totals.get(0, 0)
-        lexicon = _lexicon(rows, toxic, clean, max_lexicon) if toxic and clean else {}
-        featuriser = Featuriser(lexicon)
-
-        def vectors(batches):
-            for batch in batches:
-                texts = batch.column("text").to_pylist()
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id"), "toxic": batch.column("toxic").cast(pa.int32()),
-                    "x": pa.array([featuriser(t) for t in texts], pa.list_(pa.float64())),
-                })
-
-        got = rows.mapInArrow(vectors, "doc_id long, toxic int, x array<double>").select(
-            "toxic", "x", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0).alias("calibrates"), F.xxhash64("doc_id").alias("h")
-        )
-        table = got.toArrow().sort_by("h")
-    finally:
-        rows.unpersist()
-    y = np.asarray(table.column("toxic").to_pylist(), float)
-    x = np.asarray(table.column("x").to_pylist(), float).reshape(len(y), len(NAMES))
-    part = np.asarray(table.column("calibrates").to_pylist(), bool)
-    if part.sum() < 50 or len(np.unique(y[part])) < 2:  # too few rows to keep some back
-        part = np.zeros(len(y), bool)
-    trees = BoostedTrees().fit(x[~part], y[~part])
-    calibration = Isotonic().fit(trees.margin(x[part]), y[part]) if part.any() else _logistic(trees, x, y)
-    return ToxicityModel(featuriser, trees, calibration)
+    rows = materialise(rows, "toxicity-rows")
+    totals = dict(rows.groupBy("toxic").count().collect())
+    toxic, clean = totals.get(1, 0), totals.get(0, 0)
+    lexicon = _lexicon(rows, toxic, clean, max_lexicon) if toxic and clean else {}
+    featuriser = Featuriser(lexicon)
 
+    def vectors(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "toxic": batch.column("toxic").cast(pa.int32()),
+                "x": pa.array([featuriser(t) for t in texts], pa.list_(pa.float64())),
+            })
 
-def _logistic(trees: BoostedTrees, x: np.ndarray, y: np.ndarray) -> Isotonic:
+    got = rows.mapInArrow(vectors, "doc_id long, toxic int, x array<double>").select("toxic", "x", F.xxhash64("doc_id", F.lit(7)).alias("h"))
+    table = got.toArrow().sort_by("h")
+    forget(rows)
+    y = np.asarray(table.column("toxic").to_pylist(), float)
+    x = np.asarray(table.column("x").to_pylist(), float).reshape(len(y), len(NAMES))
+    trees = BoostedTrees().fit(x, y)
+    if len(np.unique(y)) < 2:
+        return ToxicityModel(featuriser, trees, _constant(y))
+    # Each class is halved by itself, so that both halves know both classes wherever there are two rows of each.
+    half = np.zeros(len(y), bool)
+    for label in (0, 1):
+        half[np.flatnonzero(y == label)[::2]] = True
+    margin = np.zeros(len(y))
+    for part in (half, ~half):
+        margin[~part] = BoostedTrees().fit(x[part], y[part]).margin(x[~part])
+    return ToxicityModel(featuriser, trees, Isotonic().fit(margin, y))
+
+
+def _constant(y: np.ndarray) -> Isotonic:
     out = Isotonic()
-    if len(y) and len(np.unique(y)) == 2:
-        out.x = np.linspace(-8, 8, 65)
-        out.y = 1 / (1 + np.exp(-out.x))
-    else:
-        out.x, out.y = np.array([0.0]), np.array([float(y[0]) * 0.98 + 0.01 if len(y) else 0.01])
+    out.x, out.y = np.array([0.0]), np.array([float(y[0]) * 0.98 + 0.01 if len(y) else 0.01])
     return out
 
 
