@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
-from .common import table
+from .common import sampled, table
 
 #: Pages that the trees learn from, at most about.
 MAX_TRAIN_PAGES = 400
@@ -298,11 +298,10 @@ def spark_slots(df: DataFrame) -> int:
 
 
 def fit(pages: DataFrame, max_pages: int = MAX_TRAIN_PAGES) -> BoostedTrees:
-    """Trees from a bounded sample of pages (page_id, html), dealt by a hash of page_id."""
+    """Trees from a bounded sample of pages (page_id, html), about max_pages of any number, dealt by a hash; repeats teach once."""
     n = pages.count()
-    sample = pages.select("page_id", "html", F.pmod(F.xxhash64("page_id", F.lit(3)), F.lit(1 << 30)).alias("number"))
-    if n > max_pages:
-        sample = sample.filter(F.pmod(F.xxhash64("page_id"), F.lit(1_000_003)) < int(1_000_003 * max_pages / n))
+    sample = pages.select("page_id", "html", F.xxhash64("page_id", "html").alias("at"), F.pmod(F.xxhash64("page_id", F.lit(3)), F.lit(1 << 30)).alias("number"))
+    sample = sample.filter(sampled(F.col("at"), n, max_pages)).dropDuplicates(["at"])
 
     def run(batches):
         for batch in batches:

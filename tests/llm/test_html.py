@@ -73,3 +73,44 @@ def test_odd_pages(spark, model):
     assert len(rows) == 6 and rows[0].text == "" and rows[0].n_chars == 0
     assert html.main_text(pages.limit(0), html.fit(pages.limit(0))).count() == 0
     assert os.path.exists(html.__file__)
+
+
+def test_samples_keep_their_size_however_many_rows_there_are(spark):
+    from pyspark.sql import functions as F
+
+    from quillframe.llm.common import sampled
+
+    rows = spark.range(400_000)
+    for n in (10**9, 10**13):
+        # Of 400,000 rows of a table of n, the share of a sample that n/400,000 such tables would make.
+        got = rows.filter(sampled(F.xxhash64("id"), n, n // 1000)).count()
+        assert 330 < got < 470
+    assert rows.filter(sampled(F.xxhash64("id"), 10**9, 400)).count() <= 5
+    assert rows.filter(sampled(F.xxhash64("id"), 100, 400)).count() == 400_000
+
+
+def test_structure_alone_finds_the_articles(spark, data, monkeypatch):
+    """Without the features that come from word and tag lists, the trees still find the text by shape and place."""
+    whole = html.features
+
+    def shape(nodes):
+        out = whole(nodes)
+        out[:, [0, 1, 2, 3, 4, 5, 6, 24, 25]] = 0
+        return out
+
+    monkeypatch.setattr(html, "features", shape)
+    pages = [r.html for r in spark.read.parquet(f"{data}/pages.parquet").orderBy("page_id").collect()]
+    import numpy as np
+
+    rows = [np.column_stack([shape(html.parse(f)[0]), html.teach(html.parse(f)[0])]) for i, p in enumerate(pages[::2]) for f in html.variants(p, i * 7919)]
+    rows = np.concatenate(rows)
+    model = html.BoostedTrees(trees=50, depth=4, rate=0.25).fit(rows[:, :-1], rows[:, -1])
+    right = 0
+    for page in pages[1::2]:
+        nodes, blocks = html.parse(page)
+        inside = {id(n) for n in nodes if n.tag == "article"}
+        for n in nodes:
+            if n.parent is not None and id(n.parent) in inside:
+                inside.add(id(n))
+        right += html.extract(page, model) == " ".join(t for n, t in blocks if id(n) in inside)
+    assert right >= 0.9 * len(pages[1::2])
