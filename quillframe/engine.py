@@ -142,7 +142,10 @@ def kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillframe-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="quillframe-"))
     return df.checkpoint(eager=True)
 
 
@@ -224,27 +227,46 @@ class Documents(Records):
             return documents.write(found, self.options)
         return found.filter(F.col("statement") == CHANGED).select("ord", "path", F.lit(None).cast("string").alias("why"))
 
-    def query(self, text: str) -> DataFrame:
-        """The rows of one SELECT as a DataFrame: filename, and a text column for each expression (a map of all fields for *)."""
+    def query(self, text: str, ordered: bool = True) -> DataFrame:
+        """The rows of one SELECT as a DataFrame: filename, and a text column for each expression (a map of all fields for *).
+
+        ordered: in the order of the documents where the program does not sort
+        them itself; without it nothing is sorted that need not be.
+        """
         q = parse_query(text)
         if not isinstance(q, Select):
             raise ValueError("query() is for select; use run() or rendered()")
         program = Program((q,))
-        rows = documents.rows_of(self._events(program, self._plan(program)), q, 0)
+        found = self._events(program, self._plan(program))
+        if (q.sort or ordered) and not q.limit:
+            found = kept(found)  # a global sort looks at its input twice, which must not be the documents
+        rows = documents.rows_of(found, q, 0, ordered)
         if q.star:
             pairs = F.expr("transform(sequence(0, cast(size(cells) / 2 as int) - 1), i -> struct(cells[2 * i], cells[2 * i + 1]))")
             return rows.select(F.col("path").alias("filename"), F.when(F.size("cells") > 0, F.map_from_entries(pairs)).alias("fields"))
         return rows.select(F.col("path").alias("filename"), *(F.get("cells", F.lit(2 * i + 1)).alias(column_name(e, i)) for i, e in enumerate(q.columns)))
 
-    def rendered(self, text: str) -> DataFrame:
-        """(path, content) of the documents that a program changes, without writing any."""
+    def _found(self, text: str) -> DataFrame:
+        """All that a program makes of the documents, changed contents included, without writing any."""
         program, options = parse_program(text), self.options
         self.options = replace(options, dry_run=False)
         try:
-            found = self._events(program, self._plan(program))
+            return self._events(program, self._plan(program))
         finally:
             self.options = options
-        return found.filter(F.col("statement") == CHANGED).select("path", F.get("cells", F.lit(0)).alias("content"))
+
+    def rendered(self, text: str) -> DataFrame:
+        """(path, content) of the documents that a program changes, without writing any."""
+        return self._found(text).filter(F.col("statement") == CHANGED).select("path", F.get("cells", F.lit(0)).alias("content"))
+
+    def failed(self, text: str) -> DataFrame:
+        """(path, why) of the documents that a program can't read, change or write."""
+        return self._found(text).filter(F.col("statement") == FAILED).select("path", F.get("cells", F.lit(0)).alias("why"))
+
+    def shown(self, text: str) -> DataFrame:
+        """(statement, filename, names, cells) of all rows that a program's statements show, neither sorted nor cut."""
+        rows = self._found(text).filter(F.col("statement") >= 0)
+        return rows.select("statement", F.col("path").alias("filename"), F.expr("filter(cells, (x, i) -> i % 2 = 0)").alias("names"), F.expr("filter(cells, (x, i) -> i % 2 = 1)").alias("cells"))
 
 
 def execute(spark: SparkSession, text: str, options: Options | None = None, format: str = "simple", out: TextIO | None = None, err: TextIO | None = None, silent: bool = False) -> bool:

@@ -22,12 +22,13 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import evaluate, format_value, from_python, truthy
 from ..operators.rowwise import SORT_DDL, SORT_TYPE, RowError, apply, sort_parts
 from ..plans.nodes import Program, Select, Statement, column_name
 from .headers import HeaderError, decode, parse, render
-from .languages import EXTENSIONS, Language
+from .languages import BY_EXTENSION, EXTENSIONS, Language
 from .listing import expand, is_pattern, regex
 
 NO_HEADER = "no header; name the file explicitly or pass --lang to insert one"
@@ -177,11 +178,27 @@ def table_events(program: Program, content: DataFrame, options: Options) -> Data
         path,
         F.array_compact(F.array(*seen)).alias("statements"),
         (path.isin(named) if named else F.lit(False)).alias("explicit"),
-        F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("raw"),
+        F.coalesce(_needed(program, content, options).cast("binary"), F.lit(b"")).alias("raw"),
     )
     return _events(program, files, options)
 
 
+#: A header on the first lines, with the line that closes it.
+LEADING = r"\A---[ \t]*\r?\n(?:[^\n]*\n)*?---[ \t]*\r?(?:\n|\z)"
+
+
+def _needed(program: Program, content: DataFrame, options: Options) -> Column:
+    """The part of content that a program looks at: of a document that is only read, its leading header, so that texts need not leave the JVM."""
+    whole = F.col("content")
+    if any(q.mutates for q in program.statements) or options.language is not None or content.schema["content"].dataType != T.StringType():
+        return whole
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)\z", 1))
+    plain = suffix.isin(sorted(e for e, x in BY_EXTENSION.items() if x.plain)) | ~suffix.isin(sorted(EXTENSIONS))
+    # A text with a zero byte is an error wherever that is.
+    header = F.regexp_extract(whole, LEADING, 0)
+    return F.when(plain & whole.startswith("---") & ~F.contains(whole, F.lit("\0")) & (header != ""), header).otherwise(whole)
+
+
 def _any(tests: Iterable[Column]) -> Column:
     out = F.lit(False)
     for t in tests:
@@ -221,8 +238,8 @@ def write(found: DataFrame, options: Options) -> DataFrame:
     return found.filter(F.col("statement") == CHANGED).select("ord", "path", "cells").mapInArrow(run, "ord string, path string, why string")
 
 
-def rows_of(found: DataFrame, q: Statement, i: int) -> DataFrame:
-    """(ord, path, cells) that statement i shows, sorted and cut as it says."""
+def rows_of(found: DataFrame, q: Statement, i: int, ordered: bool = True) -> DataFrame:
+    """(ord, path, cells) that statement i shows, sorted and cut as it says. ordered: in the order of the files also where it says nothing."""
     out = found.filter(F.col("statement") == i)
     keys = []
     if isinstance(q, Select):
@@ -230,5 +247,7 @@ def rows_of(found: DataFrame, q: Statement, i: int) -> DataFrame:
             key = F.get("keys", F.lit(k))
             # Ranks put nulls last; turned around as a whole, they come first.
             keys.append(key.desc() if t.descending else key.asc())
-    out = out.orderBy(*keys, "ord")
-    return out.limit(q.limit) if isinstance(q, Select) and q.limit else out
+    limit = q.limit if isinstance(q, Select) else 0
+    if ordered or keys or limit:
+        out = out.orderBy(*keys, "ord")
+    return out.limit(limit) if limit else out

@@ -208,3 +208,35 @@ def test_strictness(spark, folder):
     loose, strict = (Documents(spark, Options(dry_run=True, strict=s)).run(text) for s in (False, True))
     assert loose.results[0].rows == [] and loose.results[2].rows == [["a.md", "Alpha"]]
     assert strict.results[0].headers == ["expr1", "missing"] and strict.results[0].rows == [["2", ""]] and strict.results[2].rows == [["a.md", ""]]
+
+
+def test_documents_are_evaluated_once_whatever_the_order(spark, tmp_path):
+    content = spark.range(40).repartition(4).selectExpr("concat('d/', lpad(id, 3, '0'), '.md') AS path", "concat('---\nn: ', id, '\n---\n', repeat('x', 2000)) AS content")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    content = content.mapInArrow(counted, "path string, content string")
+    for program, ordered in (("select n from d/*", False), ("select n from d/*", True), ("select n from d/* sort by n desc", True), ("select n from d/* sort by n limit 3", True)):
+        read.value = 0
+        rows = [r.n for r in Documents(spark, content=content).query(program, ordered=ordered).collect()]
+        assert read.value == 40, program
+        assert sorted(map(int, rows)) == ([0, 1, 2] if "limit" in program else list(range(40)))
+
+
+def test_only_headers_leave_the_jvm_where_nothing_changes(spark):
+    from quillframe.plans.parser import parse_program
+    from quillframe.sources.documents import _needed
+
+    texts = {"a.md": "---\nn: 1\n---\nbody", "b": "---\r\nn: 1\r\n--- \r\nbody", "c.md": "body\n---\nn: 1\n---\n", "d.py": "---\nn: 1\n---\nx", "e.md": "---\nn: 1\n---\nx\0", "f.md": "---\nn: 1\nopen", "g.md": "---\n---\nx", "h.txt": "---\na: ---\nb: 1\n---\nx", "i.md": "---\nn: |\n  ----\nm: 2\n---", "j.md": None}
+    content = spark.createDataFrame(list(texts.items()), "path string, content string")
+    cut = {r[0]: r[1] for r in content.select("path", _needed(parse_program("select n from *"), content, Options())).collect()}
+    assert cut == texts | {"a.md": "---\nn: 1\n---\n", "b": "---\r\nn: 1\r\n--- \r\n", "g.md": "---\n---\n", "h.txt": "---\na: ---\nb: 1\n---\n", "i.md": "---\nn: |\n  ----\nm: 2\n---"}
+    for path, text in texts.items():
+        if text is not None and "\0" not in text:
+            assert parse(path, cut[path]).fields == parse(path, text).fields and parse(path, cut[path]).found == parse(path, text).found
+    whole = content.select(_needed(parse_program("update * set n = 1"), content, Options())).collect()
+    assert [r[0] for r in whole] == list(texts.values())
