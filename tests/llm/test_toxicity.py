@@ -82,7 +82,7 @@ def test_equal_texts_take_the_toxic_label_and_few_rows_calibrate(spark):
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
     rows = {r.text: r.toxic for r in toxicity.training_rows(docs, labels).collect()}
     assert rows == {"you idiot": 1, "nice day": 0}
-    few = spark.createDataFrame([(i, f"you idiot number{i}" if i % 2 else f"a nice day number{i}", i % 2) for i in range(12)], "doc_id long, text string, toxic int")
+    few = spark.createDataFrame([(i, f"you idiot number{i}" if i % 2 else f"a nice day number{i}", i % 2) for i in range(60)], "doc_id long, text string, toxic int")
     model = toxicity.fit(few)
     a, b = model.score(["you idiot", "a nice day"])
     assert a > b and len(model.calibration.x) > 1
