@@ -218,7 +218,7 @@ def describe(spans: list[Span]) -> str:
 
 
 def report(documents: DataFrame, patterns: Patterns) -> DataFrame:
-    """Counts, digest and spans for each document."""
+    """Counts, digest and spans for each document; n_spans counts all spans, those of the patterns included."""
     read = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if isinstance(patterns, DataFrame):
         read, patterns = _located(read, patterns), None
@@ -234,9 +234,10 @@ def report(documents: DataFrame, patterns: Patterns) -> DataFrame:
                 cols[f"n_{name}"] = pa.array([sum(s[1] == k for s in spans) for spans in base], pa.int64())
             cols["base_sha256"] = pa.array([hashlib.sha256(describe(s).encode()).hexdigest() for s in base], pa.string())
             cols["spans"] = pa.array([describe(s) for s in every], pa.string())
+            cols["n_spans"] = pa.array([len(s) for s in every], pa.int64())
             yield pa.RecordBatch.from_pydict(cols)
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     return read.mapInArrow(run, schema)
 
 

@@ -68,3 +68,10 @@ def test_redaction_keeps_the_rest(spark, documents, odd_texts):
 def test_empty_table(spark, documents):
     empty = documents(["x"]).limit(0)
     assert pii.induce(empty) == {} and pii.report(empty, {}).count() == 0
+
+
+def test_all_spans_are_counted(spark, documents):
+    texts = ["mail a.b@c.de and 10.0.0.1", None, "", "call +44 20 7946 0958 now", "nothing"]
+    rows = {r.doc_id: r for r in pii.report(documents(texts), pii.induce(documents(texts))).collect()}
+    assert [rows[i].n_spans for i in range(5)] == [2, 0, 0, 1, 0]
+    assert all(rows[i].n_spans == len([s for s in rows[i].spans.split(",") if s]) for i in range(5))
