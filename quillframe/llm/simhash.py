@@ -38,6 +38,8 @@ RADIUS = 2
 SEED = 42
 #: Buckets of more distinct fingerprints are linked through shared points instead of pairs.
 LARGE_BUCKET = 24
+#: Edges that one task contracts at once, at most about.
+LOCAL_EDGES = 500_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -107,15 +109,53 @@ def links(distinct: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return twos.union(pairs).union(stars).distinct(), [sizes, shared]
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), a < b, with the components of edges: of each LOCAL_EDGES edges of a partition, one to each node from its component's least."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        def stars():
+            found = [(find(x), x) for x in list(parent)]
+            found = [e for e in found if e[0] != e[1]]
+            parent.clear()
+            for i in range(0, len(found), 10_000):
+                a, b = zip(*found[i : i + 10_000])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        seen = 0
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+            seen += batch.num_rows
+            if seen + batch.num_rows > LOCAL_EDGES:
+                yield from stars()
+                seen = 0
+        yield from stars()
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b), as a table: root is the smallest node of its component.
+    """(node, root) for every node of edges (a, b), a < b, as a table: root is the smallest node of its component.
 
-    Alternates large-star and small-star steps; each keeps components and
-    shortens paths, so few rounds are needed however long a chain is.
+    Pieces of at most about LOCAL_EDGES edges are first contracted to stars by
+    one task each. One piece's stars are the result; the stars of several go
+    through large-star and small-star steps in turn, which keep components and
+    shorten paths, so few rounds are needed however long a chain is.
     """
     edges = materialise(edges.select("a", "b"), "edges")
+    one = edges.count() <= LOCAL_EDGES // 2
+    old, edges = edges, materialise(contracted(edges.coalesce(1) if one else edges), "contracted")
+    forget(old)
     before = None
-    while True:
+    while not one:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: a node's greater neighbours go to its least neighbour (or itself).
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -129,11 +169,12 @@ def connected(edges: DataFrame) -> DataFrame:
         forget(old, large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
-            roots = edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
-            roots = materialise(roots, "roots")
-            forget(edges)
-            return roots
+            break
         before = now
+    roots = edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
+    roots = materialise(roots, "roots")
+    forget(edges)
+    return roots
 
 
 def classes(hashed: DataFrame) -> DataFrame:
