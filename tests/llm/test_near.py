@@ -34,9 +34,11 @@ def edited(r, words, n):
     return words
 
 
-@pytest.mark.parametrize("rounds", [0, 6])
-def test_components_are_those_of_all_pairs(spark, documents, rounds, monkeypatch):
-    monkeypatch.setattr(near, "ROUNDS", rounds)
+@pytest.mark.parametrize("small, pairs, part, edges", [(8, 100, 1024, 500_000), (1, 0, 2, 500_000), (2, 100, 3, 20)])
+def test_components_are_those_of_all_pairs(spark, documents, small, pairs, part, edges, monkeypatch):
+    for name, value in (("SMALL", small), ("PAIRS", pairs), ("PART", part), ("TASK_PAIRS", 5)):
+        monkeypatch.setattr(near, name, value)
+    monkeypatch.setattr(simhash, "LOCAL_EDGES", edges)
     r = random.Random(6)
     texts = [None, "", " \n", "one two", "One  TWO", "one two three"]
     for _ in range(12):
