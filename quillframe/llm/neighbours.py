@@ -1,42 +1,49 @@
-"""Approximate nearest neighbours: stable random projections in a kd-tree, verified until a chi-square test holds.
+"""Approximate nearest neighbours: stable random projections in kd-trees, verified until a chi-square test holds.
 
 Every vector is projected to a few dimensions by one Gaussian matrix. A squared
 projected distance, by the true squared distance, is then chi-square with as
-many degrees of freedom. The rows are dealt into blocks of bounded size; a
-block's projections are a kd-tree. A query takes a block's points in order of
-projected distance and verifies each by its true distance; it stops when a
-point as near as the k-th nearest so far would have come this early but for a
-small chance. All rows are indexed; nothing is fitted to the data but the bound
-that each query starts from, its k-th distance within a bounded sample.
+many degrees of freedom. A kd-tree over a bounded sample of projections cuts
+the projected space into cells; every row is routed to its cell, and a cell's
+rows are a kd-tree of their own (several, where a cell has too many rows). A
+query takes a cell's points in order of projected distance and verifies each by
+its true distance; it stops when a point as near as the k-th nearest so far
+would have come this early but for a small chance. It first searches its own
+cell, then those cells whose box the same test can't rule out. Equal vectors
+are one query, and the first k + 1 of them are candidates: no answer needs more.
 
 Defined results: vectors that are null, zero, or hold a null or a non-finite
-number take no part, as queries or as candidates; likewise vectors of another
-width than most rows of the sample; a row is never its own neighbour, but
-another row of the same vec_id is; fewer candidates than k give all of them;
-an empty table gives no rows; other columns are not read.
+number take no part, as queries or as candidates, nor do rows of a null vec_id;
+vectors of different widths have no distance, so a query's candidates are those
+of its own width; a row is never its own neighbour, but another row of the same
+vec_id is; fewer candidates than k give all of them; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import forget, join_spread, materialise, sampled, table
 
 K = 10
 DIMENSIONS = 12
 #: Chance that a true neighbour is passed over by the stopping test in a block.
 MISS = 0.01
 LEAF = 64
-#: Rows of a block, at most about, and queries that go to it at once.
-BLOCK_ROWS = 16_384
+#: Rows of a cell, or of a part of one, about, and queries that go to it at once.
+BLOCK_ROWS = 4_096
 QUERY_ROWS = 2_048
-#: Rows that give each query its first bound.
-SAMPLE_ROWS = 1_024
+#: Projections that the cells are cut by, about, and how many of them a cell has at least.
+SAMPLE_ROWS = 131_072
+CELL_SAMPLE = 8
 
 
 def chi_square_quantile(p: float, degrees: int) -> float:
@@ -82,7 +89,76 @@ class KdTree:
         return (gap * gap).sum(axis=1)
 
 
-def search(vectors: np.ndarray, projected: np.ndarray, ids: np.ndarray, rows: np.ndarray, tree: KdTree, q: np.ndarray, q_low: np.ndarray, q_row: int, bound: float, k: int, quantile: float) -> list[tuple[float, int, int]]:
+class Cells:
+    """The projected space, cut into at most `most` boxes, each split at a median of the points."""
+
+    def __init__(self, points: np.ndarray, most: int):
+        self.splits: list[tuple[int, float, int, int] | int] = []
+        low, high = [], []
+        least = max(CELL_SAMPLE, -(-len(points) // most))
+        stack = [(points, np.full(DIMENSIONS, -np.inf), np.full(DIMENSIONS, np.inf), None)]
+        while stack:
+            part, lo, hi, above = stack.pop()
+            here = len(self.splits)
+            if above is not None:
+                axis, value, left, _ = self.splits[above]
+                self.splits[above] = (axis, value, here, -1) if left < 0 else (axis, value, left, here)
+            spread = part.max(axis=0) - part.min(axis=0) if len(part) >= 2 * least else np.zeros(1)
+            if not spread.max() > 0:
+                self.splits.append(len(low))
+                low.append(lo)
+                high.append(hi)
+                continue
+            axis = int(np.argmax(spread))
+            x = part[:, axis]
+            value = float(np.median(x))
+            if not (x < value).any():
+                value = float(x[x > value].min())
+            below = x < value
+            cut_hi, cut_lo = hi.copy(), lo.copy()
+            cut_hi[axis] = cut_lo[axis] = value
+            self.splits.append((axis, value, -1, -1))
+            stack += [(part[~below], cut_lo, hi, here), (part[below], lo, cut_hi, here)]
+        self.low, self.high = np.stack(low), np.stack(high)
+
+    def route(self, points: np.ndarray) -> np.ndarray:
+        """The number of each point's cell."""
+        out = np.zeros(len(points), np.int32)
+        stack = [(0, np.arange(len(points)))]
+        while stack:
+            here, at = stack.pop()
+            split = self.splits[here]
+            if isinstance(split, int):
+                out[at] = split
+            elif len(at):
+                axis, value, left, right = split
+                below = points[at, axis] < value
+                stack += [(left, at[below]), (right, at[~below])]
+        return out
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """Squared distance from q to each cell."""
+        gap = np.maximum(0.0, np.maximum(self.low - q, q - self.high))
+        return (gap * gap).sum(axis=1)
+
+
+@functools.lru_cache(16)
+def projection(width: int) -> np.ndarray:
+    return np.random.default_rng(20).standard_normal((width, DIMENSIONS))
+
+
+def by_width(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, places, matrix) of the vectors of a column, for each width."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    widths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(widths) - widths
+    for width in np.unique(widths):
+        at = np.flatnonzero(widths == width)
+        yield int(width), at, flat[starts[at][:, None] + np.arange(width)]
+
+
+def search(vectors: np.ndarray, projected: np.ndarray, ids: np.ndarray, rows: np.ndarray, tree: KdTree, q: np.ndarray, q_low: np.ndarray, bound: float, k: int, quantile: float) -> list[tuple[float, int, int]]:
     """The nearest k of the block that the incremental search verifies: (distance, vec_id, row)."""
     leaves = tree.bounds(q_low)
     best: list[tuple[float, int, int]] = []
@@ -107,7 +183,6 @@ def search(vectors: np.ndarray, projected: np.ndarray, ids: np.ndarray, rows: np
         ready = pool_d <= min(reach, quantile * limit * limit)
         if ready.any():
             now = pool_ids[ready]
-            now = now[rows[now] != q_row]
             pool_ids, pool_d = pool_ids[~ready], pool_d[~ready]
             diff = vectors[now] - q
             dist = np.sqrt((diff * diff).sum(axis=1))
@@ -128,74 +203,106 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return kept.filter(finite & F.exists("v", lambda x: x != 0)).withColumn("row", F.monotonically_increasing_id())
 
 
-def nearest(embeddings: DataFrame, is_query, k: int = K, miss: float = MISS) -> DataFrame:
-    """For each row that is_query (a Column of vec_id) picks: query_id, rank, vec_id and score of its nearest."""
-    spark = embeddings.sparkSession
-    rows = materialise(usable(embeddings), "ann-rows")
-    sample = rows.orderBy(F.xxhash64("row", "vec_id")).limit(SAMPLE_ROWS).toArrow()
-    out_schema = "query_id long, rank int, vec_id long, score double"
-    widths = [len(x) for x in sample.column("v").to_pylist()]
-    if not widths:
-        return spark.createDataFrame([], out_schema)
-    width = max(set(widths), key=lambda w: (widths.count(w), w))
-    rows = rows.filter(F.size("v") == width)
-    kept = [i for i, w in enumerate(widths) if w == width]
-    sample_v = np.array([sample.column("v")[i].as_py() for i in kept])
-    sample_row, sample_id = (np.array([sample.column(c)[i].as_py() for i in kept]) for c in ("row", "vec_id"))
-    projection = np.random.default_rng(20).standard_normal((width, DIMENSIONS))
-    quantile = chi_square_quantile(1 - miss, DIMENSIONS)
-
-    def matrix(column) -> np.ndarray:
-        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if isinstance(column, pa.ChunkedArray) else column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-
-    def bounded(batches):
+def _cells(rows: DataFrame) -> dict[int, Cells]:
+    """Cells for each width of over BLOCK_ROWS rows (v, width, row)."""
+    counts = {r.width: r.n for r in rows.groupBy("width").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_ROWS).collect()}
+    if not counts:
+        return {}
+
+    def project(batches):
         for batch in batches:
-            v, row = matrix(batch.column("v")), batch.column("row").to_numpy()
-            bound, first = [], []
-            for q, r in zip(v, row):
-                diff = sample_v - q
-                d = np.sqrt((diff * diff).sum(axis=1))
-                d[sample_row == r] = np.inf
-                near = np.lexsort((sample_id, d))[:k]
-                near = near[np.isfinite(d[near])]
-                bound.append(float(d[near[-1]]) if len(near) == k else math.inf)
-                first.append([{"c_row": int(sample_row[i]), "vec_id": int(sample_id[i]), "score": float(d[i])} for i in near])
-            kind = pa.list_(pa.struct([("c_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("vec_id"), batch.column("v"), pa.array(bound, pa.float64()), pa.array(first, kind)],
-                names=["row", "vec_id", "v", "bound", "first"],
-            )
-
-    queries = rows.filter(is_query(F.col("vec_id"))).select("row", "vec_id", "v").mapInArrow(
-        bounded, "row long, vec_id long, v array<double>, bound double, first array<struct<c_row: long, vec_id: long, score: double>>"
-    )
-    queries = materialise(queries, "ann-queries")
-    n, n_queries = rows.count(), queries.count()
-    blocks, chunks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n_queries // QUERY_ROWS))
-    # Each pair of a block of rows and a chunk of queries is one bounded task.
-    dealt = rows.select("row", "vec_id", "v", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    asked = queries.select("row", "vec_id", "v", "bound", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    def meet(points: pa.Table, questions: pa.Table) -> pa.Table:
+            for width, _, m in by_width(batch.column("v")):
+                low = pa.FixedSizeListArray.from_arrays(pa.array((m @ projection(width)).ravel()), DIMENSIONS).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), width, np.int32)), low], names=["width", "low"])
+
+    some = rows.filter(F.col("width").isin(list(counts))).filter(sampled(F.xxhash64("row"), sum(counts.values()), SAMPLE_ROWS))
+    sample = some.select("v").mapInArrow(project, "width int, low array<double>").toArrow()
+    widths = sample.column("width").to_numpy()
+    low = np.array(sample.column("low").to_pylist()).reshape(-1, DIMENSIONS)
+    return {w: Cells(low[widths == w], -(-n // BLOCK_ROWS)) for w, n in counts.items()}
+
+
+def _visit(points: DataFrame, asked: DataFrame, k: int, quantile: float) -> DataFrame:
+    """(q, c_row, vec_id, score) of the nearest k that each question (q, v, bound, width, cell) finds in each part of its cell."""
+    cell = ["width", "cell"]
+    # Both are a row for each cell at most.
+    parts = points.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    chunks = asked.groupBy(*cell).agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("chunks"))
+    plan = materialise(parts.join(chunks, cell), "ann-plan")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
+    dealt = points.join(plan, cell).select("row", "vec_id", "v", *cell, own("row", "parts").alias("part"), every("chunks").alias("chunk"))
+    questions = asked.join(plan, cell).select("q", "v", "bound", *cell, own("q", "chunks").alias("chunk"), every("parts").alias("part"))
+
+    def meet(here: pa.Table, questions: pa.Table) -> pa.Table:
         found: list[tuple] = []
-        if len(points) and len(questions):
-            v, ids, row = matrix(points.column("v")), points.column("vec_id").to_numpy(), points.column("row").to_numpy()
-            low = v @ projection
+        if len(here) and len(questions):
+            [(width, _, v)] = by_width(here.column("v"))
+            [(_, _, qv)] = by_width(questions.column("v"))
+            ids, row = here.column("vec_id").to_numpy(), here.column("row").to_numpy()
+            low, q_low = v @ projection(width), qv @ projection(width)
             tree = KdTree(low)
-            qv = matrix(questions.column("v"))
-            q_low = qv @ projection
-            for q, ql, r, i, b in zip(qv, q_low, questions.column("row").to_pylist(), questions.column("vec_id").to_pylist(), questions.column("bound").to_pylist()):
-                found += [(r, i, c_row, c, d) for d, c, c_row in search(v, low, ids, row, tree, q, ql, r, b, k, quantile)]
-        cols = list(zip(*found)) or [()] * 5
-        names = ["q_row", "query_id", "c_row", "vec_id", "score"]
+            for x, x_low, q, b in zip(qv, q_low, questions.column("q").to_pylist(), questions.column("bound").to_pylist()):
+                found += [(q, c_row, c, d) for d, c, c_row in search(v, low, ids, row, tree, x, x_low, b, k, quantile)]
+        cols = list(zip(*found)) or [()] * 4
+        names = ["q", "c_row", "vec_id", "score"]
         return pa.table([pa.array(c, pa.float64() if n == "score" else pa.int64()) for c, n in zip(cols, names)], names=names)
 
-    met = dealt.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(meet, "q_row long, query_id long, c_row long, vec_id long, score double")
-    # The sample's nearest have been verified too; they fill up where the stopping test ended a search early.
-    early = queries.select(F.col("row").alias("q_row"), F.col("vec_id").alias("query_id"), F.inline("first"))
-    found = met.unionByName(early).groupBy("q_row", "query_id", "c_row", "vec_id").agg(F.min("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q_row").orderBy("score", "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    key = [*cell, "part", "chunk"]
+    met = dealt.groupBy(*key).cogroup(questions.groupBy(*key)).applyInArrow(meet, "q long, c_row long, vec_id long, score double")
+    found = materialise(met, "ann-found")
+    forget(plan)
+    return found
+
+
+def nearest(embeddings: DataFrame, is_query, k: int = K, miss: float = MISS) -> DataFrame:
+    """For each row that is_query (a Column of vec_id) picks: query_id, rank, vec_id and score of its nearest."""
+    # A row may be among its own nearest, so one more is searched for.
+    most, quantile = k + 1, chi_square_quantile(1 - miss, DIMENSIONS)
+    rows = materialise(usable(embeddings).withColumn("width", F.size("v")), "ann-rows")
+    alike = Window.partitionBy("width", "v").orderBy("vec_id", "row")
+    points = rows.withColumn("copy", F.row_number().over(alike)).filter(F.col("copy") <= most).drop("copy")
+    points = materialise(points, "ann-candidates")
+    cells = _cells(points)
+    whole = Cells(np.zeros((0, DIMENSIONS)), 1)
+
+    def route(batches):
+        for batch in batches:
+            cell = np.zeros(batch.num_rows, np.int32)
+            for width, at, m in by_width(batch.column("v")):
+                cell[at] = cells.get(width, whole).route(m @ projection(width))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+
+    def reach(batches):
+        for batch in batches:
+            cell, bound = batch.column("cell").to_numpy(), batch.column("bound").to_numpy()
+            found: list[np.ndarray] = [np.zeros(0, np.int32)] * batch.num_rows
+            for width, at, m in by_width(batch.column("v")):
+                for i, low in zip(at, m @ projection(width)):
+                    near = np.flatnonzero(cells.get(width, whole).bounds(low) < quantile * bound[i] * bound[i])
+                    found[i] = near[near != cell[i]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
+
+    old, points = points, materialise(points.select("row", "vec_id", "v", "width").mapInArrow(route, "row long, vec_id long, v array<double>, width int, cell int"), "ann-cells")
+    forget(old)
+    members = rows.filter(is_query(F.col("vec_id"))).select("row", "vec_id", "v", "width")
+    queries = members.groupBy("v", "width").agg(F.min("row").alias("q"), F.count("*").alias("n"))
+    queries = materialise(queries.mapInArrow(route, "v array<double>, width int, q long, n long, cell int"), "ann-queries")
+    first = _visit(points, queries.withColumn("bound", F.lit(math.inf)), most, quantile)
+    # The first bound of a query is its last distance in its own cell, if that has enough rows.
+    ranked = first.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id", "c_row"))).filter(F.col("at") <= most)
+    bounds = ranked.groupBy("q").agg(F.when(F.count("*") == most, F.max("score")).otherwise(F.lit(math.inf)).alias("bound"))
+    asked = queries.join(bounds, "q").select("q", "v", "width", "cell", "bound").mapInArrow(reach, "q long, v array<double>, width int, cell int, bound double, cells array<int>")
+    asked = materialise(asked.select("q", "v", "width", "bound", F.explode("cells").alias("cell")), "ann-asked")
+    then = _visit(points, asked, most, quantile)
+    ranked = first.union(then).withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id", "c_row"))).filter(F.col("at") <= most)
+    best = ranked.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id", "c_row"))).alias("best"))
+    answers = materialise(queries.select("q", "v", "width", "n").join(best, "q").drop("q"), "ann-answers")
+    forget(points, queries, first, asked, then)
+    found = join_spread(members, answers, ["v", "width"], "n")
+    others = F.slice(F.filter("best", lambda x: x.c_row != F.col("row")), 1, k)
+    ranked = found.select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("place", "x"))
+    return ranked.select("query_id", (F.col("place") + 1).alias("rank"), "x.vec_id", "x.score")
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ def brute(vectors, q, k):
 @pytest.mark.parametrize("block", [16_384, 300])
 def test_recall_and_exact_scores(spark, block, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", block)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 3)
     monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 200)
     r = np.random.default_rng(1)
     vectors = r.normal(size=(2000, 24)) + 3 * r.normal(size=(20, 24))[r.integers(0, 20, 2000)]
@@ -51,6 +52,32 @@ def test_vectors_that_take_no_part(spark):
     assert neighbours.nearest(frame(spark, [[1, 2]]), lambda v: v % 100 == 0).count() == 0
 
 
+def test_common_vector_widths_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 30)
+    r = np.random.default_rng(4)
+    vectors = [[1, 2, 3]] * 150 + r.normal(size=(150, 3)).tolist() + [[5, 5], [5, 6], [0.0, 1, 0, 0]]
+    ids = [*range(300), 1000, 1001, 2000]
+    ids[299] = None
+    rows = neighbours.nearest(frame(spark, vectors, ids), lambda v: v % 100 == 0).collect()
+    by = {q: [(x.vec_id, x.score) for x in sorted(rows, key=lambda x: x["rank"]) if x.query_id == q] for q in {x.query_id for x in rows}}
+    assert by[0] == [(i, 0.0) for i in range(1, 11)] and by[100] == [(i, 0.0) for i in range(10)]
+    assert by[1000] == [(1001, 1.0)] and 2000 not in by and set(by) == {0, 100, 200, 1000}
+
+
+def test_cells():
+    r = np.random.default_rng(5)
+    points = r.normal(size=(4000, neighbours.DIMENSIONS))
+    points[:1500] = points[0]
+    cells = neighbours.Cells(points[::2], 20)
+    at = cells.route(points)
+    assert 4 < len(cells.low) <= 20 and set(at) == set(range(len(cells.low)))
+    for i in range(0, 4000, 97):
+        low = cells.bounds(points[i])
+        assert low[at[i]] == 0
+        for c in set(at):
+            assert low[c] <= ((points[at == c] - points[i]) ** 2).sum(axis=1).min() + 1e-12
+
+
 def test_kd_tree_bounds():
     r = np.random.default_rng(3)
     points = r.normal(size=(1000, 5))
