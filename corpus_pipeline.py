@@ -51,8 +51,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @after_the_last
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8) stays."""
-    return near.keep_one(docs)
+    """One document of each component of op6's links (SimHash, covering masks) and of five-word shingle sets of similarity 0.8 stays."""
+    return near.keep_one(docs, fingerprints=True)
 
 
 @after_the_last

@@ -14,8 +14,12 @@ a pair meet, its sizes and PLANES bits of each minimum must allow a similarity o
 0.8: at that similarity, over DIFFER of 240 minima differ in them with a
 probability under 1e-8.
 
-SimHash fingerprints can't do this: at a Jaccard similarity of 0.8 they differ
-in about 10 of 64 bits, and covering masks for that radius are 2**11 tables.
+SimHash fingerprints can't do this alone: at a Jaccard similarity of 0.8 they differ
+in about 10 of 64 bits, and covering masks for that radius are 2**11 tables. Where
+fingerprints are asked for, op6's classes (covering masks, radius 2) are found as well
+and their links join the others before components are taken, so no link of either kind
+is lost; a text far from another by its set may be within two bits of it, since
+fingerprints count repeats.
 
 Defined results: null, empty and wordless texts have the empty set and are
 copies of each other; repeated rows are copies; a null doc_id takes part and is
@@ -35,8 +39,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialise
-from .simhash import _signed, connected
+from .common import forget, join_spread, materialise
+from .simhash import _signed, classes, connected, fingerprint
 
 SHINGLE = 5
 #: Texts are near copies from this Jaccard similarity on, as a fraction of whole numbers.
@@ -96,8 +100,8 @@ def sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def sketched(texts: DataFrame) -> DataFrame:
-    """(node, size, keys, sketch, shingles) of the texts (node, text), once for each text of a part of the table."""
+def sketched(texts: DataFrame, fingerprints: bool = False) -> DataFrame:
+    """(node, size, keys, sketch, shingles, fp) of the texts (node, text), once for each text of a part of the table; fp is null unless asked for."""
 
     def run(batches):
         seen: set[int] = set()
@@ -109,13 +113,24 @@ def sketched(texts: DataFrame) -> DataFrame:
                 seen.add(node)
                 found = shingles(text)
                 least = minima(found)
-                rows.append((node, len(found), bands(least) if len(found) else [0], sketch(least), found.view(np.int32)))
+                fp = _signed(fingerprint(text)) if fingerprints else None
+                rows.append((node, len(found), bands(least) if len(found) else [0], sketch(least), found.view(np.int32), fp))
             for i in range(0, len(rows), 1000):
                 cols = list(zip(*rows[i : i + 1000]))
-                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["node", "size", "keys", "sketch", "shingles"])
+                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["node", "size", "keys", "sketch", "shingles", "fp"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, size int, keys array<long>, sketch array<long>, shingles array<int>")
+    return texts.select("node", "text").mapInArrow(run, "node long, size int, keys array<long>, sketch array<long>, shingles array<int>, fp long")
+
+
+def fingerprinted(sketches: DataFrame) -> DataFrame:
+    """Edges (a, b), a < b, from the least node of each of op6's classes to its others, as a table."""
+    hashed = materialise(sketches.select(F.col("node").alias("doc_id"), "fp").distinct(), "near-fingerprints")
+    components = classes(hashed)
+    named = join_spread(hashed, components, ["fp"], "n").filter(F.col("component_id") < F.col("doc_id"))
+    found = materialise(named.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")), "near-classes")
+    forget(hashed, components)
+    return found
 
 
 def _sized(a: str, b: str) -> Column:
@@ -173,15 +188,21 @@ def crossed(rows: DataFrame, parts: Column, tasks: int | None = None, *more: str
     return p.join(q, ["key", "part"]).filter((F.col("p_root") != F.col("q_root")) & (F.col("p_node") < F.col("q_node")) & _sized("p_size", "q_size"))
 
 
-def links(shared: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(node, root) of the components of near copies among the nodes of buckets (key, node, size, n), n being no less than the bucket's nodes."""
-    nodes = materialise(shared.select("node").distinct().withColumn("root", F.col("node")), "near-nodes")
+def links(shared: DataFrame, sketches: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the components of near copies among the nodes of buckets (key, node, size, n), n being no less than the bucket's nodes, and of known links (a, b)."""
+    every = shared.select("node")
+    if known is not None:
+        every = every.union(known.select("a")).union(known.select("b"))
+    nodes = materialise(every.distinct().withColumn("root", F.col("node")), "near-nodes")
     every = nodes.select("node")
     pair = [F.col("p_node").alias("a"), F.col("q_node").alias("b")]
     own = shared.withColumn("root", F.col("node"))
     few, many = own.filter(F.col("n") <= SMALL), own.filter(F.col("n") > SMALL).drop("root")
     found = crossed(few, F.lit(1)).select(*pair).union(centred(own.filter(F.col("n") > SMALL), range(1)))
     edges = similar(likely(found.distinct(), sketches), sketches)
+    if known is not None:
+        old, edges = edges, materialise(edges.union(known), "near-edges")
+        forget(old)
     old = [nodes]
     for last in (False, True):
         roots = connected(edges)
@@ -219,11 +240,12 @@ def links(shared: DataFrame, sketches: DataFrame) -> DataFrame:
     return nodes
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """documents with one row of each component of near copies: that of the smallest doc_id, and one of its repeats."""
+def keep_one(documents: DataFrame, fingerprints: bool = False) -> DataFrame:
+    """documents with one row of each component of near copies (and, if fingerprints, of op6's links): that of the smallest doc_id, and one of its repeats."""
     text = F.coalesce(F.col("text"), F.lit(""))
     keys = [F.xxhash64(text).alias("node"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")]
-    sketches = materialise(sketched(documents.select(keys[0], "text")), "near-sketches")
+    sketches = materialise(sketched(documents.select(keys[0], "text"), fingerprints), "near-sketches")
+    known = fingerprinted(sketches) if fingerprints else None
     buckets = sketches.select("node", "size", F.explode("keys").alias("key"))
     # Whether a bucket has two nodes shows from its least and its greatest; nothing is gathered.
     full = materialise(buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo != hi").select("key", "n"), "near-buckets")
@@ -232,8 +254,8 @@ def keep_one(documents: DataFrame) -> DataFrame:
     met = sketches.select("node", "sketch", "shingles").join(shared.select("node").distinct(), "node", "left_semi")
     once = materialise(met.groupBy("node").agg(F.max("sketch").alias("sketch"), F.max("shingles").alias("shingles")), "near-once")
     forget(sketches, full)
-    roots = links(shared, once)
-    forget(once, shared)
+    roots = links(shared, once, known)
+    forget(once, shared, *([known] if fingerprints else []))
     # Each text's least id, then each component's; a text that a third of the rows have is counted before it meets its root.
     first = documents.select(*keys).groupBy("node").agg(F.min(F.struct("none", "id")).alias("m"))
     named = first.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("m.none", "m.id", "node").alias("m"))

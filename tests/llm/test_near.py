@@ -67,3 +67,16 @@ def test_repeats_null_ids_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "x y z w"), (None, "x y z w")], "doc_id long, text string")
     assert sorted((r.text, r.doc_id) for r in near.keep_one(df).collect()) == [("a b c d", 1), ("x y z w", None)]
     assert near.keep_one(df.limit(0)).count() == 0
+
+
+def test_stage_keeps_to_fingerprints_and_similarity(spark, documents):
+    r = random.Random(9)
+    again, one, two = ([f"w{r.randint(0, 5000)}" for _ in range(n)] for n in (61, 40, 40))
+    a, b, c = again * 201 + one, again * 201 + two, again + two
+    texts = [" ".join(x) for x in (a, b, c)]
+    # By sets only b and c are near copies, by fingerprints only a and b.
+    assert brute_kept(texts) == [0, 1]
+    fps = [simhash.fingerprint(t) for t in texts]
+    assert bin(fps[0] ^ fps[1]).count("1") <= 2 and min(bin(fps[i] ^ fps[2]).count("1") for i in (0, 1)) > 2
+    assert [x.doc_id for x in pipeline.near_dedup_stage(spark, documents(texts), "").collect()] == [0]
+    assert sorted(x.doc_id for x in pipeline.near_dedup_stage(spark, documents([texts[2], texts[0], "", texts[1], "other"]), "").collect()) == [0, 2, 4]
