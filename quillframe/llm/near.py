@@ -10,9 +10,12 @@ Components need links, not all pairs: the nodes of a bucket of over SMALL are
 first held against one of them, then against CENTRES others, and only nodes of
 a bucket that are in different components by then are compared pair by pair, in
 parts. Every pair of a bucket ends in one component or is compared. Before the sets of
-a pair meet, its sizes and PLANES bits of each minimum must allow a similarity of
-0.8: at that similarity, over DIFFER of 240 minima differ in them with a
-probability under 1e-8.
+a pair meet, its sizes, its parities and PLANES bits of each minimum must allow a
+similarity of 0.8. At that similarity, over DIFFER of 240 minima differ in those bits
+with a probability under 1e-8. Parities are exact: a hash deals a set's shingles to
+PARITIES bits, each the parity of its count, so that two sets differ in at least as
+many shingles as bits. Small sets that are not near copies hardly ever pass; of sets
+of thousands of shingles the minima tell more.
 
 SimHash fingerprints can't do this alone: at a Jaccard similarity of 0.8 they differ
 in about 10 of 64 bits, and covering masks for that radius are 2**11 tables. Where
@@ -51,6 +54,8 @@ PLANES = 4
 DIFFER = 82
 #: Longs that hold a bit of each minimum.
 LONGS = -(-ROWS * BANDS // 64)
+#: Bits that hold the parities of a set, a multiple of 64. With 1024, Spark's code for the quick test has over 8,000 bytes, which the JVM does not compile.
+PARITIES = 512
 SEED = 42
 #: Buckets of so many nodes are compared pair by pair at once.
 SMALL = 8
@@ -92,12 +97,13 @@ def bands(least: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(part.tobytes(), i)) for i, part in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def sketch(least: np.ndarray) -> np.ndarray:
-    """PLANES bits of each minimum, in planes of LONGS longs. They are low ones, since the minima of great sets are small."""
+def sketch(least: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """PLANES bits of each minimum, in planes of LONGS longs, and the parities. The bits are low ones, since the minima of great sets are small."""
     bits = np.zeros((PLANES, LONGS * 64), np.uint8)
     for i in range(PLANES):
         bits[i, : len(least)] = least >> np.uint32(8 + i) & np.uint32(1)
-    return np.packbits(bits).view(np.int64)
+    odd = np.bincount(hashes % np.uint32(PARITIES), minlength=PARITIES) & 1
+    return np.packbits(np.concatenate([bits.ravel(), odd.astype(np.uint8)])).view(np.int64)
 
 
 def sketched(texts: DataFrame, fingerprints: bool = False) -> DataFrame:
@@ -114,7 +120,7 @@ def sketched(texts: DataFrame, fingerprints: bool = False) -> DataFrame:
                 found = shingles(text)
                 least = minima(found)
                 fp = _signed(fingerprint(text)) if fingerprints else None
-                rows.append((node, len(found), bands(least) if len(found) else [0], sketch(least), found.view(np.int32), fp))
+                rows.append((node, len(found), bands(least) if len(found) else [0], sketch(least, found), found.view(np.int32), fp))
             for i in range(0, len(rows), 1000):
                 cols = list(zip(*rows[i : i + 1000]))
                 kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64())
@@ -138,17 +144,19 @@ def _sized(a: str, b: str) -> Column:
     return F.least(a, b) * LEAST[1] >= F.greatest(a, b) * LEAST[0]
 
 
-def _likely(x: str, y: str) -> Column:
-    """Whether the sketches x and y differ in few minima."""
-    differ = [F.col(x)[i].bitwiseXOR(F.col(y)[i]) for i in range(PLANES * LONGS)]
-    return sum(F.bit_count(functools.reduce(Column.bitwiseOR, differ[i::LONGS])) for i in range(LONGS)) <= DIFFER
+def _likely(x: str, y: str, x_size: str, y_size: str) -> Column:
+    """Whether the sketches x and y of sets of these sizes differ in few minima, and in no more parities than near copies can differ in shingles."""
+    differ = [F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i))) for i in range(PLANES * LONGS + PARITIES // 64)]
+    minima, odd = differ[: PLANES * LONGS], differ[PLANES * LONGS :]
+    few = sum(F.bit_count(functools.reduce(Column.bitwiseOR, minima[i::LONGS])) for i in range(LONGS)) <= DIFFER
+    # Sets of n shingles in all that differ in d have the similarity (n - d) / (n + d).
+    return (sum(map(F.bit_count, odd)) * sum(LEAST) <= (F.col(x_size) + F.col(y_size)) * (LEAST[1] - LEAST[0])) & few
 
 
 def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Those of the different pairs (a, b) that pass the quick test. sketches: one row for each node."""
-    quick = sketches.select("node", "sketch")
-    both = pairs.join(quick.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(quick.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-    return both.filter(_likely("x", "y")).select("a", "b")
+    x, y = (sketches.select(F.col("node").alias(n), F.col("sketch").alias(s), F.col("size").alias(f"{s}_size")) for n, s in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").filter(_likely("x", "y", "x_size", "y_size")).select("a", "b")
 
 
 def similar(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -222,7 +230,7 @@ def links(shared: DataFrame, sketches: DataFrame, known: DataFrame | None = None
         if last:
             # The quick test is part of the join, so that only likely pairs are shuffled.
             quick = materialise(mixed.join(sketches.select("node", "sketch"), "node"), "near-mixed")
-            met = crossed(quick, F.ceil(F.col("all") / PART), min(20_000, int(pairs) // TASK_PAIRS + 1), "sketch").filter(_likely("p_sketch", "q_sketch")).select(*pair).distinct()
+            met = crossed(quick, F.ceil(F.col("all") / PART), min(20_000, int(pairs) // TASK_PAIRS + 1), "sketch").filter(_likely("p_sketch", "q_sketch", "p_size", "q_size")).select(*pair).distinct()
         else:
             met = likely(centred(mixed.select("key", "node", "size", "root"), range(1, 1 + CENTRES)), sketches)
         new = similar(met, sketches)
@@ -251,8 +259,8 @@ def keep_one(documents: DataFrame, fingerprints: bool = False) -> DataFrame:
     full = materialise(buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo != hi").select("key", "n"), "near-buckets")
     shared = materialise(buckets.join(full, "key").groupBy("key", "node").agg(F.max("size").alias("size"), F.max("n").alias("n")), "near-shared")
     # A text that lies in several parts of the table has a row for each; from here on, only texts that share a bucket count, once.
-    met = sketches.select("node", "sketch", "shingles").join(shared.select("node").distinct(), "node", "left_semi")
-    once = materialise(met.groupBy("node").agg(F.max("sketch").alias("sketch"), F.max("shingles").alias("shingles")), "near-once")
+    met = sketches.select("node", "size", "sketch", "shingles").join(shared.select("node").distinct(), "node", "left_semi")
+    once = materialise(met.groupBy("node").agg(F.max("size").alias("size"), F.max("sketch").alias("sketch"), F.max("shingles").alias("shingles")), "near-once")
     forget(sketches, full)
     roots = links(shared, once, known)
     forget(once, shared, *([known] if fingerprints else []))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from quillframe.llm import near, simhash
@@ -80,3 +81,28 @@ def test_stage_keeps_to_fingerprints_and_similarity(spark, documents):
     assert bin(fps[0] ^ fps[1]).count("1") <= 2 and min(bin(fps[i] ^ fps[2]).count("1") for i in (0, 1)) > 2
     assert [x.doc_id for x in pipeline.near_dedup_stage(spark, documents(texts), "").collect()] == [0]
     assert sorted(x.doc_id for x in pipeline.near_dedup_stage(spark, documents([texts[2], texts[0], "", texts[1], "other"]), "").collect()) == [0, 2, 4]
+
+
+def test_sets_of_a_great_group_that_are_no_near_copies_do_not_meet(spark, documents, monkeypatch):
+    r = random.Random(10)
+    words = [f"w{r.randint(0, 5000)}" for _ in range(150)]
+    texts = [" ".join(edited(r, words, r.choice([1, 3, 3, 3, 4]))) for _ in range(150)]
+    counts, similar = [], near.similar
+
+    def counted(pairs, sketches):
+        counts.append(pairs.count())
+        return similar(pairs, sketches)
+
+    monkeypatch.setattr(near, "similar", counted)
+    assert sorted(x.doc_id for x in near.keep_one(documents(texts)).collect()) == brute_kept(texts)
+    assert sum(counts) < 5 * len(texts)
+
+
+def test_no_more_parities_than_shingles_differ():
+    r = np.random.default_rng(11)
+    least = near.minima(np.array([], np.uint32))
+    for n in (0, 1, 2, 30, 1000, 5000):
+        a, b = (np.unique(r.integers(0, 3 * n + 1, n, np.uint32)) for _ in range(2))
+        x, y = (np.unpackbits(near.sketch(least, s).view(np.uint8)) for s in (a, b))
+        differ, most = int((x != y).sum()), len(np.setxor1d(a, b))
+        assert differ <= most and differ % 2 == most % 2 and len(x) == near.PLANES * near.LONGS * 64 + near.PARITIES
