@@ -19,34 +19,60 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 SPACE = "▁"
-WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Characters of new words that are indexed at once, and words that are remembered.
+SPACE_BYTES = SPACE.encode()
+#: Characters (counted in bytes) of new words that are indexed at once.
 INDEX_CHARS = 300_000
-REMEMBERED = 500_000
+#: Words that are remembered from one slice to the next, and bytes of them and their ids.
+REMEMBERED = 1_000_000
+REMEMBERED_BYTES = 64_000_000
+#: Rows and bytes of text that are encoded at once.
+SLICE_ROWS = 4_000
+SLICE_BYTES = 8_000_000
 #: Words of more characters are relaxed one by one.
 LONG_WORD = 48
 
 
+def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each range, one range after another."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _sorted_by(keys: list[np.ndarray]) -> np.ndarray:
+    """Places in order of the keys, the first counts most. Later keys are looked at only where the ones before are equal."""
+    order = np.argsort(keys[0])
+    first = keys[0][order]
+    same = first[1:] == first[:-1]
+    for key in keys[1:]:
+        tied = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+        group = np.cumsum(~np.concatenate([[False], same]))[tied]
+        places = order[tied]
+        order[tied] = places[np.lexsort([key[places], group])]
+        same &= key[order[1:]] == key[order[:-1]]
+    return order
+
+
 class PieceModel:
     """The vocabulary of a SentencePiece BPE model, and the matcher over it. Loaded on first use in each process."""
 
     def __init__(self, path: str):
         self.path, self.loaded = path, False
 
-    def __getstate__(self):
-        return {"path": self.path, "loaded": False}
+    def __reduce__(self):
+        return _of_process, (self.path,)
 
     def load(self) -> PieceModel:
         if self.loaded:
@@ -84,7 +110,11 @@ class PieceModel:
         for k in self.hidden:
             self.texts[k] = ""
         self.texts[self.unknown] = " ⁇ "
-        self.memory: dict[str, list[int]] = {}
+        self.raw = pa.array([bytes([self.byte_of[i]]) if i in self.byte_of else t.encode() for i, t in enumerate(self.texts)], pa.large_binary())
+        self.ids_of_bytes = np.array([self.byte_id.get(b, self.unknown) for b in range(256)], np.int32)
+        # The ids of each word (int32, one after another), words as UTF-8.
+        self.memory: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of both
         self.loaded = True
         return self
 
@@ -109,7 +139,7 @@ class PieceModel:
         bits = 64 // per
         keys = [sum(padded[per * k + j : per * k + j + n].astype(np.uint64) << np.uint64(64 - bits * (j + 1)) for j in range(per)) for k in range(w // per)]
         # The suffix array, to the depth of the longest piece: no piece tells deeper suffixes apart.
-        suffixes = np.lexsort(keys[::-1])
+        suffixes = _sorted_by(keys)
         size = w * np.dtype(kind).itemsize
         ordered = np.stack([k[suffixes] for k in keys], axis=1).astype(">u8").view(f"S{size}").ravel()
         big = np.dtype(kind).newbyteorder(">")
@@ -190,61 +220,78 @@ class PieceModel:
         for p, e in nxt.items():
             after[p], begins[p] = e, True
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Encode words that are not remembered yet."""
         # Each word is followed by the end mark, which no piece holds.
-        text = self.ranks[np.frombuffer("\n".join([*words, ""]).encode("utf-32-le", "surrogatepass"), "<u4")]
-        size = np.array([len(w) for w in words])
-        start = np.cumsum(size + 1) - size - 1
-        text[start + size] = 0
+        joined = b"\n".join([*words, b""])
+        text = self.ranks[np.frombuffer(joined.decode().encode("utf-32-le"), "<u4")]
+        # Where each character starts, and the characters at which words do.
+        byte = np.flatnonzero((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        end = np.searchsorted(byte, ends - 1)
+        start = np.concatenate([[0], end[:-1] + 1])
+        text[end] = 0
         edges = self.edges(text)
-        after, first = self.relax(edges, start, start + size)
-        first[start + size] = False
+        after, first = self.relax(edges, start, end)
+        first[end] = False
         at = np.flatnonzero(first[: len(text)])
         ids = edges[at, after[at] - at]
-        bounds = np.searchsorted(at, np.concatenate([start, [len(text)]]))
-        odd = np.add.reduceat((ids < 0).astype(np.int64), bounds[:-1]) > 0
-        flat, bounds = ids.tolist(), bounds.tolist()
-        for k, word in enumerate(words):
-            own = flat[bounds[k] : bounds[k + 1]]
-            if odd[k]:
-                places = (at[bounds[k] : bounds[k + 1]] - start[k]).tolist()
-                own = [x for i, p in zip(own, places) for x in ([i] if i >= 0 else self._bytes(word[p]))]
-            self.memory[word] = own
-
-    def _bytes(self, char: str) -> list[int]:
-        return [self.byte_id[x] for x in char.encode()] if self.byte_id else [self.unknown]
+        # Characters without a piece become their bytes.
+        size = np.ones(len(at), np.int64)
+        odd = np.flatnonzero(ids < 0)
+        if len(odd):
+            if self.byte_id:
+                size[odd] = byte[at[odd] + 1] - byte[at[odd]]
+            ids = np.repeat(ids, size)
+            own = np.frombuffer(joined, np.uint8)[_ragged(byte[at[odd]], size[odd])]
+            ids[ids < 0] = self.ids_of_bytes[own] if self.byte_id else self.unknown
+        bounds = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(at, np.concatenate([start, [len(text)]]))]
+        flat, bounds = ids.tobytes(), (bounds * ids.itemsize).tolist()
+        for word, low, high in zip(words, bounds, bounds[1:]):
+            self.memory[word] = flat[low:high]
+        self.held += len(joined) + len(flat)
+
+    def encode_flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (UTF-8) one after another, and where each text's begin and the last one's end."""
+        self.load()
+        parts = [self.sp.normalize(t) if t else b"" for t in texts]
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        joined = np.frombuffer(b"".join(parts), np.uint8)
+        # A word starts at a text's start and at each mark that follows no other mark.
+        starts = np.zeros(len(joined) + 1, bool)
+        mark = np.flatnonzero(joined[:-2] == SPACE_BYTES[0]) if len(joined) > 2 else np.empty(0, np.int64)
+        mark = mark[(joined[mark + 1] == SPACE_BYTES[1]) & (joined[mark + 2] == SPACE_BYTES[2])]
+        starts[mark[np.diff(mark, prepend=-len(SPACE_BYTES) - 1) != len(SPACE_BYTES)]] = True
+        starts[bounds] = True
+        offsets = np.flatnonzero(starts)
+        n = len(offsets) - 1
+        found = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+        words = found.dictionary.to_pylist()
+        new: list[bytes] = []
+        size = 0
+        for word in words:
+            if word not in self.memory:
+                new.append(word)
+                size += len(word)
+                if size >= INDEX_CHARS:
+                    self.learn(new)
+                    new, size = [], 0
+        if new:
+            self.learn(new)
+        own = [self.memory[w] for w in words]
+        if len(self.memory) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.memory.clear()
+            self.held = 0
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        which = found.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[which])])
+        ids = np.frombuffer(b"".join(own), np.int32)[_ragged((np.cumsum(sizes) - sizes)[which], sizes[which])]
+        return ends[np.searchsorted(offsets, bounds)], ids
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        self.load()
-        out: list[list[int]] = []
-        waiting: list[list[str]] = []
-        new: dict[str, None] = {}
-        chars = 0
-
-        def settle() -> None:
-            nonlocal chars
-            if new:
-                self.learn(list(new))
-            for words in waiting:
-                out.append(list(chain.from_iterable(map(self.memory.__getitem__, words))))
-            waiting.clear()
-            new.clear()
-            chars = 0
-            if len(self.memory) > REMEMBERED:
-                self.memory.clear()
-
-        for text in texts:
-            words = WORD.findall(self.sp.normalize(text)) if text else []
-            for word in words:
-                if word not in self.memory and word not in new:
-                    new[word] = None
-                    chars += len(word)
-            waiting.append(words)
-            if chars >= INDEX_CHARS or len(waiting) >= 4_000:
-                settle()
-        settle()
-        return out
+        bounds, ids = self.encode_flat([(t or "").encode() for t in texts])
+        flat, bounds = ids.tolist(), bounds.tolist()
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, byte pieces read as UTF-8, marks as spaces, without the space put before the text."""
@@ -255,6 +302,19 @@ class PieceModel:
             text = self._decode_bytes(ids)
         return text[1:] if text.startswith(" ") else text
 
+    def gives_back(self, texts: list[bytes], bounds: np.ndarray, ids: np.ndarray) -> list[bool]:
+        """Whether decode() of each text's ids, as encode_flat() gives them, is that text."""
+        self.load()
+        _, offsets, data = pc.take(self.raw, pa.array(ids)).buffers()
+        data = data.to_pybytes() if data else b""
+        places = (np.frombuffer(offsets, np.int64)[bounds] if len(ids) else bounds).tolist()
+        out = []
+        for k, text in enumerate(texts):
+            got = data[places[k] : places[k + 1]]
+            # Other bytes may still be the same text, where decode() replaces what is no UTF-8.
+            out.append((got[1:] if got.startswith(b" ") else got) == text or self.decode(ids[bounds[k] : bounds[k + 1]].tolist()).encode() == text)
+        return out
+
     def _decode_bytes(self, ids: list[int]) -> str:
         parts: list[str] = []
         pending = bytearray()
@@ -269,20 +329,34 @@ class PieceModel:
         return "".join([*parts, pending.decode(errors="replace")])
 
 
-def _slices(batches, size: int = 1_000):
-    """Batches cut small, so that a task holds the ids of few texts at once."""
+@functools.cache
+def _of_process(path: str) -> PieceModel:
+    """The model that all tasks of a process share, with the words that it remembers."""
+    return PieceModel(path)
+
+
+def _slices(batches):
+    """doc_id and text (UTF-8, a null text empty) of batches cut small, so that a task holds the ids of few texts at once."""
     for batch in batches:
-        for at in range(0, max(1, batch.num_rows), size):
-            yield batch.slice(at, size)
+        doc_id, text = batch.column("doc_id"), batch.column("text").cast(pa.binary())
+        at = size = 0
+        for end, more in enumerate(pc.fill_null(pc.binary_length(text), 0).to_pylist(), 1):
+            size += more
+            if size >= SLICE_BYTES or end - at == SLICE_ROWS or end == len(text):
+                yield doc_id.slice(at, end - at), [t or b"" for t in text.slice(at, end - at).to_pylist()]
+                at, size = end, 0
+
+
+def _lists(bounds: np.ndarray, ids: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode(documents: DataFrame, model: PieceModel) -> DataFrame:
     """(doc_id, ids) for each row."""
 
     def run(batches):
-        for batch in _slices(batches):
-            ids = model.encode(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        for doc_id, texts in _slices(batches):
+            yield pa.RecordBatch.from_arrays([doc_id, _lists(*model.encode_flat(texts))], names=["doc_id", "ids"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -302,14 +376,10 @@ def encode_checked(documents: DataFrame, model: PieceModel) -> DataFrame:
     """(doc_id, n_ids, ids, round_trip): ids of each text, and whether decoding gives the text back."""
 
     def run(batches):
-        for batch in _slices(batches):
-            texts = batch.column("text").to_pylist()
-            ids = model.encode(texts)
-            same = [model.decode(i) == (t or "") for i, t in zip(ids, texts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())],
-                names=["doc_id", "n_ids", "ids", "round_trip"],
-            )
+        for doc_id, texts in _slices(batches):
+            bounds, ids = model.encode_flat(texts)
+            same = pa.array(model.gives_back(texts, bounds, ids), pa.bool_())
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(bounds), pa.int64()), _lists(bounds, ids), same], names=["doc_id", "n_ids", "ids", "round_trip"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_ids long, ids array<int>, round_trip boolean")
 
